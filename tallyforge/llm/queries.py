@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import byte_bpe, decontamination, near_duplicates, pii
+from tallyforge.llm import byte_bpe, decontamination, near_duplicates, pii, toxicity
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -43,6 +43,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(_table(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)
 """
 
-QUERIES = {"op4_near_duplicates": op4_near_duplicates, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_near_duplicates": op4_near_duplicates, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
 ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL}

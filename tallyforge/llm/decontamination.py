@@ -216,6 +216,21 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any benchmark item, with all their columns."""
-    hit = matches(docs, benchmark, window).where(F.size("ranges") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """The rows of ``docs`` that hold no window of any benchmark item, with all their columns. Block after block, without a join."""
+    for block in _blocks(benchmark):
+        docs = _without(docs, *block, window)
+    return docs
+
+
+def _without(docs: DataFrame, ids: list[int], texts: list[str], window: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = Queries(*sent.value, window)
+        for batch in chunks(batches, "text", SHARD_BYTES):
+            buf, at = utf8(batch.column("text"))
+            starts, ends, row = words(buf, at, NOT_ALNUM)
+            ranges, _, _ = _shard(hash_words(buf, starts, ends), row, batch.num_rows, q)
+            yield batch.filter(pa.array([not r for r in ranges], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import byte_bpe, decontamination, near_duplicates, pii, toxicity
+from tallyforge.llm import byte_bpe, decontamination, language_model, near_duplicates, pii, toxicity
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -47,6 +47,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(_table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(_table(spark, sf_dir, "documents"))
 
@@ -64,5 +68,5 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_near_duplicates": op4_near_duplicates, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
 ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL}

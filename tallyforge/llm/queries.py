@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import byte_bpe, decontamination, language_model, near_duplicates, pii, toxicity
+from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, near_duplicates, pii, toxicity
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -68,5 +72,5 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
 ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL}

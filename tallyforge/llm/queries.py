@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, near_duplicates, pii, toxicity
+from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, near_duplicates, pii, toxicity, warc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -72,5 +72,22 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination}
-ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+# Base32 of SHA-1: 160 bits in 32 groups of five, each group from the digest's hexadecimal digits.
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+digit AS (SELECT page_id, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(hex, CAST(i AS INTEGER), 1)) - 1) AS d FROM p),
+bits AS (SELECT page_id, list_transform(range(0, 160), lambda i: (d[CAST(i // 4 + 1 AS INTEGER)] // CAST(pow(2, 3 - i % 4) AS BIGINT)) % 2) AS b FROM digit),
+b32 AS (SELECT page_id, array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + 16 * b[5 * g + 1] + 8 * b[5 * g + 2] + 4 * b[5 * g + 3] + 2 * b[5 * g + 4] + b[5 * g + 5] AS INTEGER), 1)), '') AS payload_digest FROM bits),
+top AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex)
+SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN p.page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN p.page_id <> last THEN last END AS refers_to
+FROM p JOIN b32 USING (page_id) JOIN top USING (hex)
+"""
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc}
+ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, near_duplicates, pii, toxicity, warc
+from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, multi_index, near_duplicates, pii, toxicity, warc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -89,5 +90,9 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest
 FROM p JOIN b32 USING (page_id) JOIN top USING (hex)
 """
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc}
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc, "op10_multi_index": op10_multi_index}
 ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}

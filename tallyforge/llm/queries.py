@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, multi_index, near_duplicates, pii, toxicity, warc
+from tallyforge.llm import byte_bpe, decontamination, language_model, main_text, multi_index, near_duplicates, pii, token_counts, toxicity, warc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,6 +48,11 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.editorial(_table(spark, sf_dir, "documents"))
+    return token_counts.recounted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -94,5 +99,5 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc, "op10_multi_index": op10_multi_index}
+QUERIES = {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op3_language_model": op3_language_model, "op4_near_duplicates": op4_near_duplicates, "op5_main_text": op5_main_text, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_decontamination": op8_decontamination, "op9_warc": op9_warc, "op10_multi_index": op10_multi_index}
 ORACLES = {"op4_near_duplicates": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}

@@ -42,6 +42,8 @@ from tallyforge.llm.common import checkpointed, shared_dir
 SPLIT_BYTES = 16 << 20
 #: Bytes inflated to find a record's headers.
 HEAD_BYTES = 4096
+#: Bytes handed to zlib at a time where a member doesn't say how long it is.
+PIECE_BYTES = 1 << 14
 MANIFEST = "_manifest.json"
 #: Revisit ids that are sent to all tasks; more of them are joined.
 SENT_ROWS = 1_000_000
@@ -192,9 +194,18 @@ class WarcReader(DataSourceReader):
             if packed:
                 body, length = _skip(buf, at)
                 inflate = zlib.decompressobj(-15)
-                head = inflate.decompress(buf[body:], HEAD_BYTES)
-                while (parsed := parse_head(head)) is None and not inflate.eof:
-                    head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
+                if length:
+                    # Only the record's own bytes are handed over: what zlib doesn't use yet, it copies.
+                    head = inflate.decompress(buf[body : at + length - 8], HEAD_BYTES)
+                    while (parsed := parse_head(head)) is None and not inflate.eof:
+                        head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
+                else:
+                    head, fed = b"", body
+                    while not inflate.eof and fed < len(buf):
+                        head += inflate.decompress(buf[fed : fed + PIECE_BYTES])
+                        fed += PIECE_BYTES
+                    parsed = parse_head(head)
+                    length = min(fed, len(buf)) - len(inflate.unused_data) + 8 - at
             else:
                 head = bytes(buf[at : at + HEAD_BYTES])
                 while (parsed := parse_head(head)) is None and at + len(head) < len(buf):
@@ -219,9 +230,8 @@ class WarcReader(DataSourceReader):
             wanted = self._wanted(row)
             has_payload = row["record_type"] != "revisit"
             if packed:
-                if wanted and has_payload and self.payload != "false" or not length:
-                    data = head + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
-                    length = length or len(buf) - at - len(inflate.unused_data) + 8
+                if wanted and has_payload and self.payload != "false":
+                    data = head + inflate.decompress(inflate.unconsumed_tail)
                     payload = data[n_head + http_end : n_head + block]
                 at += length
             else:

@@ -183,7 +183,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark hands over where there is nothing to read
+            return
         files, _ = open_folder(self.path)
         with files.open_input_file(partition.path) as f:
             buf = memoryview(f.read_at(partition.end - partition.start, partition.start))

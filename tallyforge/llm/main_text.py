@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import checkpointed, chunks
+from tallyforge.llm.common import checkpointed, chunks, tidy
 from tallyforge.llm.dom import BLOCKS, Node, parse
 
 #: Pages that make a constant node template, outside and inside the article, and the share of them that must agree.
@@ -40,6 +40,9 @@ FEW, MANY, SHARE = 3, 8, 0.8
 VALUES = 8
 SENT_BYTES = 64 << 20
 PAGE_BYTES = 2 << 20
+#: Elements that come in rows, and how many other neighbours of one label are aligned one by one.
+ROWS = frozenset(["p", "li", "tr", "td", "th", "dt", "dd", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"])
+APART = 8
 #: Layouts whose alignment one task remembers.
 REMEMBERED = 20_000
 
@@ -66,35 +69,52 @@ def excluded(node: Node, in_article: bool) -> bool:
 
 
 class Run:
-    """Neighbouring elements of one label, as one node of the aligned tree."""
+    """An element, or many neighbours of one label, as one node of the aligned tree."""
 
-    __slots__ = ("at", "kids", "label", "nodes", "value")
+    __slots__ = ("kids", "label", "nodes")
 
     def __init__(self, label: str) -> None:
         self.label = label
         self.nodes: list[Node] = []
         self.kids: list[Run] = []
-        self.value = 0
-        self.at = -1
 
 
 def runs(nodes: list[Node]) -> tuple[list[Run], str]:
-    """The elements below ``nodes`` in runs, and their layout. Raw and void elements take no part."""
+    """The blocks below ``nodes`` as nodes of the aligned tree, and their layout.
+
+    Neighbours of one label are one node if they are rows of text (ROWS) or more
+    than APART; inline elements belong to the text of their block.
+    """
     out: list[Run] = []
     for parent in nodes:
-        last = None
+        side: list[Run] = []
         for kid in parent.kids:
-            if kid.__class__ is str:
+            if kid.__class__ is str or kid.tag not in BLOCKS:
                 continue
-            if kid.tag not in BLOCKS:
-                continue  # inline elements belong to the text of their block
             label = f"{kid.tag}.{kid.name}" if kid.name else kid.tag
-            if last is None or last.label != label:
-                last = next((r for r in out if r.label == label), None) if len(nodes) > 1 else None
-                if last is None:
-                    last = Run(label)
-                    out.append(last)
-            last.nodes.append(kid)
+            if side and side[-1].label == label and kid.tag in ROWS:
+                side[-1].nodes.append(kid)
+            else:
+                side.append(Run(label))
+                side[-1].nodes.append(kid)
+        k = 0
+        while k < len(side):
+            end = k
+            while end < len(side) and side[end].label == side[k].label:
+                end += 1
+            if end - k > APART:
+                for more in side[k + 1 : end]:
+                    side[k].nodes += more.nodes
+                del side[k + 1 : end]
+                end = k + 1
+            k = end
+        out += side
+    if len(nodes) > 1:
+        # The children of a run are those of all its elements, one for each label.
+        merged: dict[str, Run] = {}
+        for r in out:
+            merged.setdefault(r.label, Run(r.label)).nodes.extend(r.nodes)
+        out = list(merged.values())
     shape = []
     for r in out:
         r.kids, below = runs(r.nodes)
@@ -315,6 +335,7 @@ def _merge_group(key: tuple, rows: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) of all pages."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inducer = Inducer()
 
@@ -352,6 +373,7 @@ def extracted(pages: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     if size <= sent_bytes:
         sent = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()})
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loaded: dict[str, list[Wrap]] = {}
             for batch in chunks(batches, "html", PAGE_BYTES):
@@ -365,6 +387,7 @@ def extracted(pages: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
 
         return pages.mapInArrow(run, _SCHEMA)
 
+    @tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, wraps = None, []
         for batch in chunks(batches, "html", PAGE_BYTES):

@@ -32,36 +32,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACES, U64, checkpointed, chunks, hash_words, utf8, words
+from tallyforge.llm.common import SPACES, U64, checkpointed, chunks, hash_words, tidy, utf8, words
 
 DEPTH = 5
 NODES = 1 << 16
 FREQUENT = 1 << 19
 SPACE, END = 0x20, 0x0A
 #: Distinct keys that a task holds before it sends its counts on.
-HELD = 2_000_000
+HELD = 1_000_000
 WORD, GRAM = 0, 1
 
 
-def stream(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, DEPTH end bytes before each, and where each text's own bytes start (rows + 1 places)."""
+def stream(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, ``depth`` end bytes before each, and where each text's own bytes start (rows + 1 places)."""
     lengths = ends - starts
     size = lengths + 1
     own = np.bincount(row, weights=size, minlength=rows).astype(np.int64) + 1
-    first = np.concatenate([[0], np.cumsum(own + DEPTH)]) + DEPTH
-    out = np.full(int(first[-1]) - DEPTH, END, np.uint8)
+    first = np.concatenate([[0], np.cumsum(own + depth)]) + depth
+    out = np.full(int(first[-1]) - depth, END, np.uint8)
     if len(starts):
-        to = np.cumsum(size) - size + row * (DEPTH + 1) + DEPTH
+        to = np.cumsum(size) - size + row * (depth + 1) + depth
         at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         out[at + np.repeat(to, lengths)] = buf[at + np.repeat(starts, lengths)]
         out[to + lengths] = SPACE
     return out, first
 
 
-def own_bytes(first: np.ndarray) -> np.ndarray:
+def own_bytes(first: np.ndarray, depth: int) -> np.ndarray:
     """Whether each byte of a stream is a text's own."""
-    own = np.ones(int(first[-1]) - DEPTH, bool)
-    for k in range(1, DEPTH + 1):
+    own = np.ones(int(first[-1]) - depth, bool)
+    for k in range(1, depth + 1):
         own[first[:-1] - k] = False
     return own
 
@@ -86,17 +86,17 @@ class Counts:
         return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     held = {WORD: Counts(), GRAM: Counts()}
-    for batch in chunks(batches, "text", 8 << 20):
+    for batch in chunks(batches, "text", 2 << 20):
         buf, at = utf8(batch.column("text"))
         starts, ends, row = words(buf, at, SPACES)
         held[WORD].add(hash_words(buf, starts, ends))
-        out, first = stream(buf, starts, ends, row, batch.num_rows)
+        out, first = stream(buf, starts, ends, row, batch.num_rows, depth)
         key = np.zeros(len(out), U64)
-        for k in range(DEPTH + 1):
+        for k in range(depth + 1):
             key[k:] |= out[: len(out) - k].astype(U64) << U64(8 * k)
-        held[GRAM].add(key[own_bytes(first)])
+        held[GRAM].add(key[own_bytes(first, depth)])
         for kind, c in held.items():
             if len(c.keys) > HELD:
                 yield c.taken(kind)
@@ -104,9 +104,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield c.taken(kind)
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(kind, key, n): words by hash, and (DEPTH + 1)-grams by their bytes, the last one lowest."""
-    found = texts.select("text").mapInArrow(_count, "kind byte, key long, n long")
+def counted(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n): words by hash, and (depth + 1)-grams by their bytes, the last one lowest."""
+    found = texts.select("text").mapInArrow(tidy(lambda batches: _count(batches, depth)), "kind byte, key long, n long")
     return checkpointed(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
@@ -124,7 +124,7 @@ def _binary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     zeros, ones = np.empty((len(counts), 255)), np.empty((len(counts), 255))
     level = counts.astype(float)
     for j in range(7, -1, -1):
-        pair = level.reshape(len(counts), -1, 2)
+        pair = level.reshape(len(counts), 2**j, 2)
         zeros[:, 2**j - 1 : 2 ** (j + 1) - 1], ones[:, 2**j - 1 : 2 ** (j + 1) - 1] = pair[:, :, 0], pair[:, :, 1]
         level = pair.sum(axis=2)
     return zeros, ones
@@ -216,15 +216,15 @@ class Tree:
         return self.log[np.concatenate([[0], node[:-1]]), out]
 
 
-def tree(counts: DataFrame, nodes: int = NODES) -> Tree:
+def tree(counts: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> Tree:
     """The tree of the grams in ``counts``."""
     grams = counts.where(F.col("kind") == GRAM).select("key", "n")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     least = max(2, -(-total // nodes))
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     level = grams
-    for k in range(DEPTH, -1, -1):
-        if k < DEPTH:
+    for k in range(depth, -1, -1):
+        if k < depth:
             level = checkpointed(level.groupBy(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n")))
         context = F.shiftright("key", 8)
         # At most ``nodes`` contexts pass, each with 256 bytes at most.
@@ -232,7 +232,7 @@ def tree(counts: DataFrame, nodes: int = NODES) -> Tree:
         rows = full.select("context", F.transform("next", lambda x: x.b).alias("b"), F.transform("next", lambda x: x.n).alias("m")).toArrow()
         found = rows["context"].to_numpy().astype(U64)
         order = np.argsort(found)
-        table = np.zeros((max(len(found), k == 0), 256))
+        table = np.zeros((max(len(found), int(k == 0)), 256))
         sizes = rows["b"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(found) else np.zeros(0, np.int64)
         if len(found):
             table[np.repeat(np.argsort(order), sizes), rows["b"].combine_chunks().flatten().to_numpy()] = rows["m"].combine_chunks().flatten().to_numpy()
@@ -244,12 +244,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"))
     train = docs.where("not held_out")
-    counts = counted(train)
+    counts = counted(train, depth)
     n_ends = train.count()
     word = counts.where(F.col("kind") == WORD).select("key", "n")
     sums = word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -258,8 +258,9 @@ def scored(docs: DataFrame) -> DataFrame:
     often = word.where(F.col("n") >= least).toArrow()  # at most FREQUENT words
     key = often["key"].to_numpy().view(U64)
     order = np.argsort(key)
-    sent = spark.sparkContext.broadcast((key[order], np.log10(often["n"].to_numpy()[order] + 1.0), tree(counts), float(np.log10(n_ends + 1.0)), n_ends > 0))
+    sent = spark.sparkContext.broadcast((key[order], np.log10(often["n"].to_numpy()[order] + 1.0), tree(counts, depth, nodes), float(np.log10(n_ends + 1.0)), n_ends > 0))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, value, model, end, end_known = sent.value
         for batch in chunks(batches, "text"):
@@ -271,13 +272,13 @@ def scored(docs: DataFrame) -> DataFrame:
             known = common[place] == hashes if len(common) else np.zeros(len(hashes), bool)
             n = np.bincount(row, minlength=rows)
             base = np.bincount(row[known], weights=value[place[known]], minlength=rows) + end
-            out, first = stream(buf, starts, ends, row, rows)
+            out, first = stream(buf, starts, ends, row, rows, depth)
             each = model.scores(out).astype(float)
-            each[~own_bytes(first)] = 0
-            score = np.add.reduceat(each, first[:-1] - DEPTH)
+            each[~own_bytes(first, depth)] = 0
+            score = np.add.reduceat(each, first[:-1] - depth)
             rare, owner = hashes[~known].view(np.int64), row[~known]
             cut = np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(np.bincount(row[known], minlength=rows) + int(end_known)), pa.array(base), pa.array(score), pa.array(np.diff(first) - DEPTH), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare))]
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1), pa.array(np.bincount(row[known], minlength=rows) + int(end_known)), pa.array(base), pa.array(score), pa.array(np.diff(first) - depth), pa.ListArray.from_arrays(pa.array(cut), pa.array(rare))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "score", "size", "rare"])
 
     found = docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, size long, rare array<long>")

@@ -23,10 +23,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from tallyforge.llm.common import chunks
+from tallyforge.llm.common import chunks, tidy
 
 #: Pre-tokens whose ids one task remembers; beyond that it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -106,6 +106,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the text's ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in chunks(batches, "text"):
@@ -118,6 +119,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the bytes of its ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
@@ -130,6 +132,7 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in chunks(batches, "text"):

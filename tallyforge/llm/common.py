@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's generator that hands its memory back to the system when it ends. Python workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(*args: object) -> Iterator:
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to ``spark.checkpoint.dir``; a temporary folder serves where that is unset."""
     sc = df.sparkSession.sparkContext
@@ -21,6 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, *sums: str) -> tuple[DataFrame, dict[str, int]]:
+    """``checkpointed(df)``, with its rows ``n`` and how many have each of the boolean columns ``sums``, counted on the way."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(c) for c in sums)))
+    return out, seen.get
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``), or a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,7 +100,7 @@ def utf8(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return (_LOWER[buf] if lower else buf), at - at[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of at most ``most`` bytes of text (a longer text is a slice of its own)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import checkpointed
+from tallyforge.llm.common import checkpointed, counted
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,22 +16,19 @@ def components(edges: DataFrame) -> DataFrame:
     edges, so the graph shrinks geometrically in practice. No edge reaches the
     driver; only the counts that end the loops do. No edges: no rows.
     """
-    left = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, seen = counted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
-    while not left.isEmpty():
-        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
-        up = checkpointed(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")))
-        while True:
+    while seen["n"]:
+        both = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e")).select("e.*")
+        up, moves = checkpointed(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root"))), 1
+        while moves:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            jumped = checkpointed(up.join(over, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")))
-            up = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
+            jumped, seen = counted(up.join(over, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "moved")
+            up, moves = jumped.select("node", "root"), seen["moved"]
         labels = up if labels is None else checkpointed(labels.join(up.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")))
-        a = up.withColumnsRenamed({"node": "a", "root": "ra"})
-        b = up.withColumnsRenamed({"node": "b", "root": "rb"})
-        moved = left.join(a, "a").join(b, "b").where("ra <> rb")
-        left = checkpointed(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        a, b = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        apart = left.join(a, "a").join(b, "b").where("ra <> rb")
+        left, seen = counted(apart.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("a").alias("component"))
     return labels.select("node", F.col("root").alias("component"))

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tallyforge.llm.common import NOT_ALNUM, chunks, hash_words, utf8, words
+from tallyforge.llm.common import NOT_ALNUM, chunks, hash_words, tidy, utf8, words
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to the tasks.
 BLOCK_BYTES = 8 << 20
 #: Bytes of training text in a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Queries:
@@ -173,6 +173,7 @@ _SCHEMA = "doc_id long, n_words long, ranges array<array<long>>, items array<str
 def _search(docs: DataFrame, ids: list[int], texts: list[str], window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Queries(*sent.value, window)
         for batch in chunks(batches, "text", SHARD_BYTES):
@@ -187,7 +188,7 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str], window: int) -> D
 
 
 @F.udf(ArrayType(ArrayType(LongType())))
-def _join_ranges(ranges: list[list[int]]) -> list[list[int]]:
+def _join_ranges(ranges):  # noqa: ANN001, ANN202
     return _covered([list(r) for r in ranges])
 
 
@@ -205,7 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         out = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), _join_ranges(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
     else:
         out = parts[0]
-    return out.withColumn("items", F.array_sort("items"))
+    return out.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -225,6 +226,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 def _without(docs: DataFrame, ids: list[int], texts: list[str], window: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = Queries(*sent.value, window)
         for batch in chunks(batches, "text", SHARD_BYTES):

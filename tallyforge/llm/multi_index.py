@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import checkpointed
+from tallyforge.llm.common import checkpointed, tidy
 
 CENTROIDS = 64
 SAMPLE = 20_000
@@ -120,6 +120,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     cut = max(1, fitted.shape[1] // 2)
     books = spark.sparkContext.broadcast((codebook(fitted[:, :cut], CENTROIDS), codebook(fitted[:, cut:], CENTROIDS) if fitted.shape[1] > cut else np.zeros((1, 0))))
 
+    @tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
         for batch in batches:
@@ -140,6 +141,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     blocks = max(1, -(-n_queries // QUERIES))
     want = share * sizes.sum()
 
+    @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = books.value
         for batch in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACES, U64, checkpointed, chunks, hash_windows, hash_words, splitmix, utf8, words
+from tallyforge.llm.common import SPACES, U64, checkpointed, chunks, counted, hash_windows, hash_words, splitmix, tidy, utf8, words
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -76,6 +76,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), bands; the last two are null for empty sets."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             sets = shingle_sets(batch.column("text"))
@@ -125,6 +126,7 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], hub: int = 0, against: np
     return links
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (group, node, hub, against, text), those of a group side by side -> links (a, b)."""
 
@@ -165,28 +167,30 @@ def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     found = checkpointed(features(docs))
     full = found.where("set_key is not null and doc_id is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Written out, so that the join below is between two plain exchanges, which Spark can split where one set is in many documents.
+    classes = checkpointed(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     member = checkpointed(full.join(classes, "set_key").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), "n_shingles"))
     reps = member.where("bands is not null")
     band = reps.select("rep", F.explode("bands").alias("band"))
     lead = band.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("band", "lead")
     shared = checkpointed(band.join(lead, "band").where("rep <> lead").groupBy("lead", "rep").agg(F.count("*").alias("n")))
-    cluster = checkpointed(components(shared.select(F.col("lead").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("component", "cluster"))
+    cluster = components(shared.select(F.col("lead").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("component", "cluster")
     # The hub is the leader that shares bands with the most classes; it decides the order of work, not the result.
     degree = shared.groupBy("lead").agg(F.count("*").alias("degree"))
     sized = cluster.join(reps.select(F.col("rep").alias("node"), "n_shingles").distinct(), "node").join(degree.withColumnRenamed("lead", "node"), "node", "left")
     plan = sized.groupBy("cluster").agg(F.max_by("node", F.struct(F.coalesce("degree", F.lit(0)), "n_shingles")).alias("hub"), F.ceil(F.greatest(F.sum(F.col("n_shingles") + 4) / CHUNK_WORDS, F.count("*") / CHUNK_DOCS)).cast("int").alias("n_chunks"))
     placed = cluster.join(plan, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    cand = checkpointed(placed.join(texts, "node"))
-    spread = cand.where("n_chunks > 1")
+    cand, seen = counted(placed.join(texts, "node").withColumn("cut", F.col("n_chunks") > 1), "cut")
+    spread = cand.where("cut").drop("cut")
     group = lambda *c: F.xxhash64(*c).alias("grp")
     no = F.lit(False).alias("against")
     first = cand.select(group("cluster", "chunk"), "node", "hub", no, "text")
     hubs = spread.where("node = hub").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).where("to <> chunk").select(group("cluster", "to"), "node", "hub", no, "text")
-    links = checkpointed(_links(first.unionAll(hubs)))
-    if not spread.isEmpty():
-        links = checkpointed(links.unionAll(_rest(spread, links)))
+    links = _links(first.unionAll(hubs) if seen["cut"] else first)
+    if seen["cut"]:
+        links = checkpointed(links)
+        links = links.unionAll(_rest(spread, links))
     joined = components(links)
     label = joined.withColumnRenamed("node", "rep")
     some = member.select("doc_id", "rep", "n_shingles").join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -25,7 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import chunks
+from tallyforge.llm.common import chunks, tidy
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "secret")
@@ -157,6 +157,7 @@ def redact(text: str) -> str:
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts of the base kinds, base_sha256 and spans."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = [spans(t) if t else [] for t in batch.column("text").to_pylist()]
@@ -170,6 +171,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with the personal data of ``text`` replaced; null texts stay null; an ``n_chars`` column follows the new text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             texts = [redact(t) if t else t for t in batch.column("text").to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.byte_bpe import REMEMBERED, Codec, codec
-from tallyforge.llm.common import chunks
+from tallyforge.llm.common import chunks, tidy
 
 BLOCK = 64
 LOOKAHEAD = 2
@@ -206,6 +206,7 @@ def recounted(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     n_chars_after, n_tokens_after and n_reencoded (pre-tokens counted for the edits).
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(codec(path, pattern))
         for batch in chunks(batches, "text"):

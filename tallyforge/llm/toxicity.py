@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import chunks
+from tallyforge.llm.common import checkpointed, chunks, tidy
 
 #: The bound of the sample of labelled rows.
 MAX_TOXIC, MAX_CLEAN = 1536, 3072
@@ -55,6 +55,20 @@ def terms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
+def marks(vocabulary: dict[str, int], word: str) -> tuple[int, ...]:
+    """The indexed terms of a word."""
+    return tuple(i for t in terms(word) if (i := vocabulary.get(t)) is not None)
+
+
+def counted_terms(vocabulary: dict[str, int], text: str) -> Counter:
+    """How often each indexed term is in a text, and REST for all other words."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        for i in marks(vocabulary, w) or (REST,):
+            out[i] += n
+    return out
+
+
 class BlockMaxIndex:
     """Exact top-k inner products of sparse non-negative vectors."""
 
@@ -103,19 +117,18 @@ class BlockMaxIndex:
 class Model:
     """The index of labelled examples and the calibration of its votes."""
 
-    def __init__(self, examples: list[tuple[int, int, Counter]], totals: tuple[int, int]) -> None:
-        """examples: (doc_id, label, word counts); totals: clean and toxic labelled rows they were drawn from."""
+    def __init__(self, vocabulary: dict[str, int], examples: list[tuple[int, int, dict[int, int]]], totals: tuple[int, int]) -> None:
+        """vocabulary: indexed terms from 1; examples: (doc_id, label, counts of terms); totals: clean and toxic labelled rows they were drawn from."""
         examples = sorted(examples, key=lambda x: x[0])
         drawn = Counter(y for _, y, _ in examples)
         self.weight = [totals[y] / drawn[y] if drawn[y] else 0.0 for y in (0, 1)]
         self.prior = totals[1] / max(1, sum(totals))
-        self.vocabulary = self._select(examples, drawn)
-        df = np.zeros(len(self.vocabulary) + 1)
-        raw = [self._counts(words) for _, _, words in examples]
-        for v in raw:
-            df[list(v)] += 1
+        self.vocabulary = vocabulary
+        df = np.zeros(len(vocabulary) + 1)
+        for _, _, counts in examples:
+            df[list(counts)] += 1
         self.idf = np.log((len(examples) + 1) / (df + 1)) + 1
-        vectors = [self.vector(v) for v in raw]
+        vectors = [self.vector(counts) for _, _, counts in examples]
         top = lambda v: max((t for t in v if t != REST), key=lambda t: (v[t], t), default=REST)
         order = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (top(vectors[i]), examples[i][0]))
         self.ids = [examples[i][0] for i in order]
@@ -123,30 +136,6 @@ class Model:
         self.index = BlockMaxIndex([vectors[i] for i in order])
         self._calibrate([(examples[i][0], examples[i][1], vectors[i]) for i in range(len(examples))])
 
-    @staticmethod
-    def _select(examples: list[tuple[int, int, Counter]], drawn: Counter) -> dict[str, int]:
-        df = (Counter(), Counter())
-        for _, y, words in examples:
-            df[y].update({t for w in words for t in terms(w)})
-        scored = []
-        for t, a in df[1].items():
-            if a >= MIN_TOXIC:
-                odds = math.log((a + 0.5) / (drawn[1] + 1)) - math.log((df[0][t] + 0.5) / (drawn[0] + 1))
-                if odds >= LOG_ODDS:
-                    scored.append((-odds * math.sqrt(a), t))
-        return {t: i + 1 for i, (_, t) in enumerate(sorted(scored)[:MAX_TERMS])}
-
-    def marks(self, word: str) -> tuple[int, ...]:
-        """The indexed terms of a word."""
-        return tuple(i for t in terms(word) if (i := self.vocabulary.get(t)) is not None)
-
-    def _counts(self, words: Counter) -> Counter:
-        out: Counter = Counter()
-        for w, n in words.items():
-            for i in self.marks(w) or (REST,):
-                out[i] += n
-        return out
-
     def vector(self, counts: Counter) -> dict[int, float]:
         weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
         norm = math.sqrt(sum(w * w for w in weights.values()))
@@ -189,7 +178,7 @@ class Model:
 class Scorer:
     """Scores texts, remembering the indexed terms of words."""
 
-    def __init__(self, model: Model, remembered: int = 500_000) -> None:
+    def __init__(self, model: Model, remembered: int = 150_000) -> None:
         self.model, self.remembered = model, remembered
         self.of_word: dict[str, tuple[int, ...]] = {}
 
@@ -202,7 +191,7 @@ class Scorer:
             if ids is None:
                 if len(known) >= self.remembered:
                     known.clear()
-                ids = known[w] = m.marks(w)
+                ids = known[w] = marks(m.vocabulary, w)
             if ids:
                 counts.update(ids)
             else:
@@ -228,22 +217,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     first = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, MAX_CLEAN), (1, MAX_TOXIC))]
     drawn = {r.doc_id: r.toxic for part in first for r in part.collect()}
     ids = docs.sparkSession.createDataFrame([(int(d), int(y)) for d, y in drawn.items()], "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most MAX_TOXIC + MAX_CLEAN ids
+    rows = checkpointed(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]))  # at most MAX_TOXIC + MAX_CLEAN ids
+    drawn = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not drawn:
+        return None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            counts = [Counter(_WORD.findall((t or "").lower())) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "label", "words", "n"])
+        df = (Counter(), Counter())
+        for batch in batches:
+            for y, t in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                df[y].update({term for w in set(_WORD.findall((t or "").lower())) for term in terms(w)})
+        every = list(df[0].keys() | df[1].keys())
+        yield pa.RecordBatch.from_pydict({"term": every, "clean": [df[0][t] for t in every], "toxic": [df[1][t] for t in every]}, pa.schema([("term", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+
+    df = rows.mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (drawn.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (drawn.get(0, 0) + 1))
+    best = df.where(F.col("toxic") >= MIN_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(MAX_TERMS)
+    vocabulary = {r.term: i for i, r in enumerate(best.collect(), 1)}
+
+    @tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted_terms(vocabulary, t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "n"])
 
-    found = rows.mapInArrow(run, "doc_id long, label int, words array<string>, n array<int>").toArrow().to_pylist()
-    examples = {r["doc_id"]: (r["doc_id"], r["label"], Counter(dict(zip(r["words"], r["n"], strict=True)))) for r in found}
-    return Model(list(examples.values()), (totals.get(0, 0), totals.get(1, 0))) if examples else None
+    found = rows.mapInArrow(count, "doc_id long, label int, terms array<int>, n array<int>").toArrow().to_pylist()
+    return Model(vocabulary, [(r["doc_id"], r["label"], dict(zip(r["terms"], r["n"], strict=True))) for r in found], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, and evidence (nearest examples with their similarity)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value) if model.value else None
         for batch in chunks(batches, "text"):
@@ -259,6 +266,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value) if model.value else None
         for batch in chunks(batches, "text"):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import keys, metadata, money
-from tallyforge.operators import audit, balances, bookings, delivery, deposits, holder, reconcile, reservations, reversals, series, validation
+from tallyforge.operators import audit, balances, bookings, delivery, deposits, holder, pending, reconcile, reservations, reversals, series, validation
 from tallyforge.plans.lens import NOW, Ledger, at
 from tallyforge.plans.oracle import A, SIGNED, oracle, total
 from tallyforge.schemas import AMOUNT
@@ -563,6 +563,17 @@ def tolerance_plan(l: Ledger) -> DataFrame:
     return deposits.tolerance(rows, F.lit(Decimal(5))).select("id", "delta", "outcome", "requires_review", F.size("steps").alias("n_steps"))
 
 
+@query(f"""WITH t AS (SELECT *, abs(expected - actual) AS delta, least(expected, actual) AS low FROM ({_TOLERANCE}))
+SELECT 'dep-' || id || ':confirm-pending' AS request_id, id AS batch_id, 'deposit_confirm_pending' AS template_code, CAST(low AS {A}) AS amount FROM t
+UNION ALL SELECT 'dep-' || id || CASE WHEN expected > actual THEN ':release-shortfall' WHEN delta <= 5 THEN ':credit-overage' ELSE ':record-overage' END, id, CASE WHEN expected > actual THEN 'deposit_release_pending' WHEN delta <= 5 THEN 'deposit_confirm' ELSE 'deposit_record_overage' END, CAST(delta AS {A})
+FROM t WHERE expected < actual OR expected > actual AND delta <= 5""")
+def tolerance_requests(l: Ledger) -> DataFrame:
+    """The template requests of the same deposits."""
+    k, expected = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast(AMOUNT)
+    rows = l._read("orders").select(k.alias("id"), expected.alias("expected"), (expected + (k % 21 - 10)).cast(AMOUNT).alias("actual"), (F.col("o_custkey") + 1).alias("holder"), F.lit(1).cast("long").alias("currency_id"), F.concat(F.lit("dep-"), k).alias("idempotency_key"))
+    return deposits.tolerance_requests(deposits.tolerance(rows, F.lit(Decimal(5)))).select("request_id", "batch_id", "template_code", F.col("amounts")["amount"].alias("amount"))
+
+
 @query("SELECT tx_hash, log_index, row_number() OVER (PARTITION BY tx_hash ORDER BY block_number, log_index) - 1 AS txlog_seq FROM (SELECT 'tx-' || (event_id // 3) AS tx_hash, event_id // 3 AS block_number, event_id % 3 AS log_index FROM events WHERE event_type IN ('purchase', 'click'))")
 def txlog_sequence(l: Ledger) -> DataFrame:
     e = F.col("event_id")
@@ -608,6 +619,13 @@ def pending_oldest_per_account(l: Ledger) -> DataFrame:
     return late.groupBy("account_holder", "currency_id").agg(F.min("id").alias("journal_entry_id")).orderBy("journal_entry_id").limit(1000)
 
 
+@query(f"""WITH late AS (SELECT account_holder, currency_id, journal_id, created_at, row_number() OVER (PARTITION BY account_holder, currency_id ORDER BY created_at, journal_id) AS n FROM entries WHERE classification_id = 4 AND entry_type = 'credit' AND account_holder > 0 AND created_at < TIMESTAMP '2000-01-01')
+SELECT l.account_holder, l.currency_id, l.journal_id, l.created_at, CAST(least(j.total_debit, b.balance) AS {A}) AS amount, 'pending:expire:journal=' || l.journal_id AS idempotency_key
+FROM late l JOIN journals j ON j.id = l.journal_id JOIN direct b ON b.account_holder = l.account_holder AND b.currency_id = l.currency_id AND b.classification_id = 4 WHERE n = 1 AND b.balance > 0 ORDER BY l.created_at, l.journal_id LIMIT 1000""")
+def pending_expiry(l: Ledger) -> DataFrame:
+    return pending.overdue(l.journals, l.entries, balances.direct(l.entries, l.classifications), at("2000-01-01"), 4)
+
+
 @query("SELECT id, uid, account_holder, currency_id, expires_at, CASE status WHEN 'active' THEN 'release' ELSE 'finalize' END AS action FROM reservations, clock WHERE status IN ('active', 'settling') AND expires_at < now ORDER BY expires_at, id LIMIT 100")
 def expired_reservations(l: Ledger) -> DataFrame:
     return reservations.expired(l.reservations, at(NOW)).orderBy("expires_at", "id").limit(100)
@@ -645,6 +663,15 @@ def reserve_admission(l: Ledger) -> DataFrame:
     return reservations.admitted(asked, left).select("id", "account_holder", "currency_id", "amount", "accepted", "reject_reason", "left")
 
 
+@query()
+def pending_actions(l: Ledger) -> DataFrame:
+    """Every order as an amount added, confirmed, cancelled or let expire, in order."""
+    k = F.col("o_orderkey")
+    action = F.element_at(F.array(*map(F.lit, pending.TEMPLATES)), (k % 4 + 1).cast("int"))
+    asked = l._read("orders").select(k.alias("seq"), (F.col("o_custkey") % 100 + 1).alias("account_holder"), F.lit(1).cast("long").alias("currency_id"), action.alias("action"), F.col("o_totalprice").cast("decimal(18,2)").cast(AMOUNT).alias("amount"), F.concat(F.lit("p-"), k).alias("idempotency_key"))
+    return pending.applied(asked, pending.opening_of(balances.direct(l.entries.where("false"), l.classifications), 4))
+
+
 @query()
 def settlement_fold(l: Ledger) -> DataFrame:
     """Two legs and a close for every reservation."""
@@ -666,6 +693,3 @@ def minimum_balance_admission(l: Ledger) -> DataFrame:
     """The movements of every account, admitted in order while the balance stays at zero or more."""
     rows = balances.with_class(l.entries, l.classifications).select("id", *ACCOUNT, money.signed().alias("delta"), money.zero().alias("min_balance"))
     return validation.with_minimum(rows, balances.direct(l.entries.where("false"), l.classifications)).select("id", *ACCOUNT, "delta", "accepted", "balance_after")
-
-
-__all__ = ["ORACLES", "QUERIES", "Column", "flagship"]

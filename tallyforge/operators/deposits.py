@@ -75,6 +75,12 @@ def tolerance(deposits: DataFrame, allowed: Column) -> DataFrame:
     return deposits.select("*", delta.alias("delta"), outcome.alias("outcome"), F.coalesce(~invalid & (expected != actual) & ~near, F.lit(False)).alias("requires_review"), steps.alias("steps"))
 
 
+def tolerance_requests(plans: DataFrame) -> DataFrame:
+    """Template requests of planned deposits (id, holder, currency_id, idempotency_key, steps): one for each step, all of a deposit one batch."""
+    each = plans.select("id", "holder", "currency_id", "idempotency_key", F.posexplode("steps").alias("step_no", "step"))
+    return each.select(F.concat_ws(":", "idempotency_key", "step.idempotency_suffix").alias("request_id"), F.col("id").alias("batch_id"), "step_no", F.col("step.template_code").alias("template_code"), "holder", "currency_id", F.create_map(F.lit("amount"), F.col("step.amount")).alias("amounts"))
+
+
 def review_reason(amount: Column, ceiling: Column, reconcile_ceiling: Column, confirmed: Column, included: Column) -> Column:
     """Why a deposit waits for review: over the ceiling, or a second source that disagrees above another; else null."""
     second = (reconcile_ceiling > 0) & (amount > reconcile_ceiling)
@@ -103,3 +109,19 @@ def sweep(balances: DataFrame, minimum: Column, limit: int) -> DataFrame:
     """The first ``limit`` addresses with at least the minimum, in order of address: how many and how much."""
     chosen = balances.where(F.col("balance") >= minimum).orderBy("address").limit(limit)
     return chosen.agg(F.count("*").alias("n_addresses"), total(F.coalesce("balance", zero())).alias("total"), F.min("address").alias("first_address"), F.max("address").alias("last_address"))
+
+
+def sweep_plan(policies: DataFrame, balances: DataFrame, sweeps: DataFrame, gas: DataFrame, bumps: int = 5) -> DataFrame:
+    """What a round of each sweep policy (chain_id, token, min_threshold, gas_ceiling, batch_limit) does.
+
+    Over the gas ceiling it waits; a sweep in flight (pending or sent) is advanced,
+    at most ``bumps`` times; a failed one is revived; else a new batch of the first
+    eligible addresses is made, if there are any.
+    """
+    state = sweeps.groupBy("chain_id", "token").agg(F.max(F.when(F.col("status").isin("pending", "sent"), F.struct("id", "attempts"))).alias("_open"), F.max(F.when(F.col("status") == "failed", F.col("id"))).alias("_failed"))
+    eligible = balances.join(policies.select("chain_id", "token", "min_threshold", "batch_limit"), ["chain_id", "token"]).where(F.col("balance") >= F.col("min_threshold"))
+    number = F.row_number().over(Window.partitionBy("chain_id", "token").orderBy("address"))
+    batch = eligible.withColumn("_number", number).where(F.col("_number") <= F.col("batch_limit")).groupBy("chain_id", "token").agg(F.count("*").alias("_n"), total(F.col("balance")).alias("_total"))
+    met = policies.join(gas, "chain_id", "left").join(state, ["chain_id", "token"], "left").join(batch, ["chain_id", "token"], "left")
+    action = F.when(F.col("gas_price").isNull() | (F.col("gas_price") > F.col("gas_ceiling")), "wait").when(F.col("_open").isNotNull(), F.when(F.col("_open.attempts") < bumps, "advance").otherwise("alert")).when(F.col("_failed").isNotNull(), "revive").when(F.coalesce("_n", F.lit(0)) > 0, "send").otherwise("nothing")
+    return met.select("chain_id", "token", action.alias("action"), F.when(action == "send", F.col("_n")).alias("n_addresses"), F.when(action == "send", F.col("_total")).cast(AMOUNT).alias("total"))

@@ -26,7 +26,7 @@ def full(requests: DataFrame, journals: DataFrame, entries: DataFrame) -> DataFr
     reason = F.when(F.col("_found").isNull(), "not_found").when(F.col("_of").isNotNull(), "is_reversal").when(F.col("_done"), "already_reversed")
     judged = met.select("journal_id", reason.alias("reject_reason"))
     legs = entries.select("journal_id", F.col("id").alias("entry_id"), "account_holder", "currency_id", "classification_id", flipped(F.col("entry_type")).alias("entry_type"), "amount")
-    return judged.join(legs, "journal_id", "left").where("reject_reason IS NULL OR true").select("journal_id", "reject_reason", *(F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in ("entry_id", "account_holder", "currency_id", "classification_id", "entry_type", "amount"))).distinct()
+    return judged.join(legs, "journal_id", "left").select("journal_id", "reject_reason", *(F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in ("entry_id", "account_holder", "currency_id", "classification_id", "entry_type", "amount"))).distinct()
 
 
 def cumulative(journals: DataFrame, entries: DataFrame) -> DataFrame:

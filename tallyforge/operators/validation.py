@@ -189,3 +189,54 @@ def template_inputs(templates: DataFrame) -> DataFrame:
     bad = ~F.coalesce(F.col("entry_type").isin("debit", "credit"), F.lit(False)) | ~F.coalesce(F.col("holder_role").isin("user", "system"), F.lit(False)) | _blank("amount_key") | _blank("classification_code")
     found = templates.groupBy("code").agg(F.count_if(bad).alias("n_bad"), F.count_if(F.col("entry_type") == "debit").alias("n_debit"), F.count_if(F.col("entry_type") == "credit").alias("n_credit"))
     return found.select("code", first_reason((_blank("code"), "invalid_input"), (F.col("n_bad") > 0, "invalid_input"), ((F.col("n_debit") == 0) | (F.col("n_credit") == 0), "invalid_input")).alias("reject_reason"))
+
+
+def _zero(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0)) == 0
+
+
+def _not_positive(c: str) -> Column:
+    return ~F.coalesce(F.col(c) > 0, F.lit(False))
+
+
+def _negative(c: str) -> Column:
+    return F.coalesce(F.col(c) < 0, F.lit(False))
+
+
+def _judged(rows: DataFrame, *bad: Column) -> DataFrame:
+    any_bad = F.lit(False)
+    for b in bad:
+        any_bad = any_bad | b
+    return rows.withColumn("reject_reason", F.when(any_bad, "invalid_input"))
+
+
+def booking_inputs(rows: DataFrame) -> DataFrame:
+    """Bookings need a class code, a holder, a currency, a positive amount and a key."""
+    return _judged(rows, _blank("classification_code"), _zero("account_holder"), F.col("currency_id").isNull(), _not_positive("amount"), _blank("idempotency_key"))
+
+
+def transition_inputs(rows: DataFrame) -> DataFrame:
+    """Transitions need a booking and a status; an amount of zero moves no money, a negative one is refused."""
+    return _judged(rows, F.col("booking_id").isNull(), _blank("to_status"), _negative("amount"))
+
+
+def settle_inputs(rows: DataFrame, partial: bool = False) -> DataFrame:
+    """Settlements need a reservation and a positive amount, legs a key too."""
+    return _judged(rows, F.col("reservation_id").isNull(), _not_positive("amount"), *([_blank("idempotency_key")] if partial else []))
+
+
+def pending_inputs(rows: DataFrame) -> DataFrame:
+    return _judged(rows, _zero("account_holder"), F.col("currency_id").isNull(), _not_positive("amount"), _blank("idempotency_key"))
+
+
+def period_inputs(rows: DataFrame) -> DataFrame:
+    return _judged(rows, F.col("close_before").isNull())
+
+
+def sighting_inputs(rows: DataFrame) -> DataFrame:
+    """Sightings need a chain, a transaction, a sequence, a token, a receiver, a positive amount and a real block."""
+    return _judged(rows, _not_positive("chain_id"), _blank("tx_hash"), _negative("txlog_seq"), _blank("token"), _blank("to_address"), _not_positive("amount"), _negative("confirmations"), _not_positive("block_number"))
+
+
+def sweep_policy_inputs(rows: DataFrame) -> DataFrame:
+    return _judged(rows, _not_positive("chain_id"), _blank("token"), _negative("min_threshold"), _negative("gas_ceiling"), _not_positive("batch_limit"), _not_positive("interval_seconds"))

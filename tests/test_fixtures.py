@@ -7,7 +7,7 @@ import pytest
 from ledger import CLASS, DAY, currencies, dims, entries, journals, reservations, rows
 from pyspark.sql import functions as F
 
-from tallyforge.operators import audit, balances, bookings, delivery, deposits, holder, reconcile, reversals, series, validation
+from tallyforge.operators import audit, balances, bookings, delivery, deposits, holder, pending, reconcile, reversals, series, validation
 from tallyforge.operators import reservations as holds
 from tallyforge.plans import presets
 
@@ -273,3 +273,34 @@ def test_inputs(spark):
     bad = presets.literal(spark, [(1, 0, 0, 0, "active", D(0), False), (2, 1, 0, 1, "active", D(0), False), (3, 1, 1, 1, "odd", D(0), False), (4, 1, 1, 1, "closed", D(0), False)], "account_policies")
     assert [r.reject_reason for r in validation.policy_inputs(bad).orderBy("id").collect()] == ["invalid_input"] * 3 + [None]
     assert {r.code: r.reject_reason for r in validation.template_inputs(presets.templates(spark)).collect() if r.reject_reason} == {}
+
+
+def test_pending_actions(spark):
+    rows_ = [(1, "add", 10, "a"), (2, "confirm", 4, "b"), (3, "confirm", 7, "c"), (4, "cancel", 2, "d"), (5, "expire", 9, "e"), (6, "expire", 9, "f"), (7, "add", 10, "a"), (8, "add", 11, "a"), (9, "add", -1, "g"), (10, "fly", 1, "h")]
+    asked = spark.createDataFrame([(s, 1, 1, a, D(n), k) for s, a, n, k in rows_], "seq long, account_holder long, currency_id long, action string, amount decimal(30,18), idempotency_key string")
+    none = spark.createDataFrame([], "account_holder long, currency_id long, balance decimal(30,18)")
+    got = [(r.reject_reason, r.posted, r.pending_after) for r in pending.applied(asked, none).orderBy("seq").collect()]
+    assert got == [(None, 10, 10), (None, 4, 6), ("insufficient_balance", None, 6), (None, 2, 4), (None, 4, 0), ("insufficient_balance", None, 0), (None, None, 0), ("conflict", None, 0), ("invalid_input", None, 0), ("invalid_input", None, 0)]
+
+
+def test_shapes_of_inputs(spark):
+    one = spark.range(1)
+    lit = lambda **c: one.select(*(F.lit(v).alias(k) for k, v in c.items()))
+    v = validation
+    for judge, good, bad in (
+        (v.booking_inputs, {"classification_code": "deposit", "account_holder": 1, "currency_id": 1, "amount": 1, "idempotency_key": "k"}, {"amount": 0}), (v.transition_inputs, {"booking_id": 1, "to_status": "x", "amount": 0}, {"amount": -1}),
+        (v.settle_inputs, {"reservation_id": 1, "amount": 1}, {"amount": 0}), (v.pending_inputs, {"account_holder": 1, "currency_id": 1, "amount": 1, "idempotency_key": "k"}, {"account_holder": 0}), (v.period_inputs, {"close_before": "2024-01-01"}, {"close_before": None}),
+        (v.sighting_inputs, {"chain_id": 1, "tx_hash": "t", "txlog_seq": 0, "token": "x", "to_address": "y", "amount": 1, "confirmations": 0, "block_number": 1}, {"block_number": 0}),
+        (v.sweep_policy_inputs, {"chain_id": 1, "token": "x", "min_threshold": 0, "gas_ceiling": 0, "batch_limit": 1, "interval_seconds": 1}, {"batch_limit": 0}),
+    ):
+        assert judge(lit(**good)).first().reject_reason is None
+        assert judge(lit(**(good | bad))).first().reject_reason == "invalid_input"
+
+
+def test_sweep_plan(spark):
+    p = spark.createDataFrame([(1, t, 10, 100, 2) for t in "abcde"] + [(2, "a", 10, 1, 2)], "chain_id int, token string, min_threshold int, gas_ceiling int, batch_limit int")
+    b = spark.createDataFrame([(1, t, f"x{k}", 5 * k) for t in "abc" for k in range(5)] + [(1, "e", "x", 1)], "chain_id int, token string, address string, balance int")
+    s = spark.createDataFrame([(1, 1, "b", "sent", 1), (2, 1, "c", "failed", 0), (3, 1, "d", "pending", 5)], "id int, chain_id int, token string, status string, attempts int")
+    gas = spark.createDataFrame([(1, 50), (2, 50)], "chain_id int, gas_price int")
+    got = {(r.chain_id, r.token): (r.action, r.n_addresses, r.total) for r in deposits.sweep_plan(p, b, s, gas).collect()}
+    assert got == {(1, "a"): ("send", 2, 25), (1, "b"): ("advance", None, None), (1, "c"): ("revive", None, None), (1, "d"): ("alert", None, None), (1, "e"): ("nothing", None, None), (2, "a"): ("wait", None, None)}

@@ -159,3 +159,40 @@ def test_deliver(spark, tmp_path):
 
     flows.deliver(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), send, f"{tmp_path}/c").awaitTermination()
     assert len(list(tmp_path.glob("sent-*"))) == 5
+
+
+def test_outcomes_and_progress(spark, tmp_path):
+    import time
+
+    from tallyforge.functions import metrics
+
+    judged = spark.createDataFrame([(1, None), (2, "conflict")], "id int, reject_reason string")
+    seen_rows, seen = metrics.outcomes(judged)
+    assert seen_rows.count() == 2 and seen.get == {"total": 2, "accepted": 1, "rejected": 1}
+    told = []
+    listener = metrics.Progress(lambda name, numbers: told.append((name, numbers["rows"])))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(7).write.parquet(f"{tmp_path}/in")
+        q = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").queryName("told").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if told:
+                break
+            time.sleep(0.1)
+        assert ("told", 7) in told
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_reader(spark, sf):
+    from tallyforge.api import Reader
+
+    l = Ledger(spark, sf)
+    r = Reader(l, F.lit("2024-01-20").cast("timestamp_ntz"))
+    assert r.balances().count() == balances.direct(l.entries, l.classifications).count()
+    assert r.balances(1, 2).select("account_holder").distinct().count() <= 2
+    assert r.balance(10**9, 1, 1).count() == 0
+    assert r.journals(size=5).count() == 5 and r.journal("jrn-3").count() == 2
+    assert r.reconcile().count() == 10 and r.trace().count() == l.bookings.count()
+    assert {x.balanced for x in balances.trial_totals(r.trial_balance(F.lit("1998-01-01").cast("timestamp_ntz"))).collect()} == {True}

@@ -304,3 +304,47 @@ def test_sweep_plan(spark):
     gas = spark.createDataFrame([(1, 50), (2, 50)], "chain_id int, gas_price int")
     got = {(r.chain_id, r.token): (r.action, r.n_addresses, r.total) for r in deposits.sweep_plan(p, b, s, gas).collect()}
     assert got == {(1, "a"): ("send", 2, 25), (1, "b"): ("advance", None, None), (1, "c"): ("revive", None, None), (1, "d"): ("alert", None, None), (1, "e"): ("nothing", None, None), (2, "a"): ("wait", None, None)}
+
+
+def test_conservation(spark, d):
+    """Ten users seeded by deposits, then 200 random transfers: sides stay equal, and liability is custody is what was seeded."""
+    import random
+
+    r = random.Random(0xCAFE)
+    rows_ = [(n, u, 1, "main_wallet", "debit", 1000) for n, u in enumerate(range(1, 11), 1)] + [(n, -u, 1, "custodial", "credit", 1000) for n, u in enumerate(range(1, 11), 1)]
+    for n in range(11, 211):
+        a, b = r.sample(range(1, 11), 2)
+        amount = r.randint(1, 50)
+        rows_ += [(n, a, 1, "main_wallet", "credit", amount), (n, b, 1, "main_wallet", "debit", amount)]
+    e = entries(spark, rows_)
+    t = balances.global_totals(e).first()
+    assert t.total_debit == t.total_credit
+    s = balances.solvency(balances.direct(e, d.classifications), d.classifications).first()
+    assert (s.custodial, s.liability, s.margin) == (10_000, 10_000, 0)
+    assert validation.unbalanced(e).count() == 0
+
+
+def test_random_journals(spark):
+    """200 random balanced journals in up to three currencies pass; 100 with a drift don't."""
+    import random
+
+    r = random.Random(7)
+    rows_, n = [], 300
+    for j in range(1, n + 1):
+        for currency in range(1, r.randint(2, 4)):
+            parts = [r.randint(1, 999) for _ in range(r.randint(1, 4))]
+            rows_ += [(j, r.randint(1, 9), currency, "main_wallet", "debit", p) for p in parts]
+            rows_.append((j, -1, currency, "custodial", "credit", sum(parts) + (j > 200 and currency == 1)))
+    got = validation.journal_structure(journals(spark, [(j, "fee") for j in range(1, n + 1)]), entries(spark, rows_), day(0)).collect()
+    assert all((x.reject_reason == "unbalanced_journal") == (x.journal_id > 200) for x in got)
+    assert all(x.reject_reason is None for x in got if x.journal_id <= 200)
+
+
+@pytest.mark.parametrize(("status", "up", "down", "both"), [("active", None, None, None), ("frozen", None, "account_frozen", None), ("closed", "account_closed", "account_closed", "account_closed")])
+@pytest.mark.parametrize("tier", [(0, 0), (1, 0), (1, 1)])
+def test_policy_matrix(spark, d, status, up, down, both, tier):
+    p = presets.literal(spark, [(1, 1, *tier, status, D(0), False), (2, 9, 0, 0, "closed", D(0), False)], "account_policies")
+    e = entries(spark, [(1, 1, 1, "main_wallet", "debit", 5), (2, 1, 1, "main_wallet", "credit", 5), (3, 1, 1, "main_wallet", "credit", 5), (3, 1, 1, "main_wallet", "debit", 5)])
+    none = spark.createDataFrame([], "account_holder long, currency_id long, classification_id long, balance decimal(30,18)")
+    got = dict(rows(validation.policy_violations(e, d.classifications, p, none), "journal_id", "reject_reason"))
+    assert got == {j: w for j, w in ((1, up), (2, down), (3, both)) if w}

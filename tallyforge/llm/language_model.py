@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import SPACES, U64, checkpointed, chunks, hash_words, tidy, utf8, words
 
-DEPTH = 5
+DEPTH = 6
 NODES = 1 << 16
 FREQUENT = 1 << 19
 SPACE, END = 0x20, 0x0A
 #: Distinct keys that a task holds before it sends its counts on.
 HELD = 1_000_000
 WORD, GRAM = 0, 1
+#: Nodes that the fit works on at a time.
+SLICE = 1024
 
 
 def stream(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, rows: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +136,20 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
 
 
+def _log_kt_of(counts: np.ndarray) -> np.ndarray:
+    """The log estimate of each decision's counts, some nodes at a time."""
+    out = np.empty((len(counts), 255))
+    for s in range(0, len(counts), SLICE):
+        out[s : s + SLICE] = _log_kt(*_binary(counts[s : s + SLICE]))
+    return out
+
+
+def _one(counts: np.ndarray) -> np.ndarray:
+    """The estimated probability of a one at each decision; NaN where there are no counts."""
+    zeros, ones = _binary(counts)
+    return np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), np.nan)
+
+
 def _log_bytes(one: np.ndarray) -> np.ndarray:
     """log10 of each byte's probability, from the probability of a one at each decision."""
     out = np.zeros((len(one), 256))
@@ -150,7 +166,7 @@ class Tree:
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """levels[k]: the k-byte contexts that are nodes (sorted, last byte lowest) and their counts of 256 bytes."""
         offset = np.cumsum([0, *(len(c) for c, _ in levels)])
-        mixed: list[np.ndarray] = [np.zeros(0)] * len(levels)
+        mixed = np.zeros((0, 255))
         share: list[np.ndarray] = [np.zeros(0)] * len(levels)
         rest: list[np.ndarray | None] = [None] * len(levels)
         parent: list[np.ndarray] = [np.zeros(0, np.int64)] * len(levels)
@@ -158,35 +174,38 @@ class Tree:
             parent[k] = np.searchsorted(levels[k - 1][0], levels[k][0] & U64((1 << 8 * (k - 1)) - 1))
         for k in range(len(levels) - 1, -1, -1):
             counts = levels[k][1]
-            log_own = _log_kt(*_binary(counts))
-            mixed[k], share[k] = log_own, np.ones_like(log_own)
+            log_own = _log_kt_of(counts)
+            above, share[k] = log_own, np.ones(log_own.shape, np.float32)
             if k + 1 < len(levels) and len(levels[k + 1][0]):
                 up = parent[k + 1]
                 left = counts.copy()
                 np.subtract.at(left, up, levels[k + 1][1])
-                rest[k] = left
-                below = _log_kt(*_binary(left))
-                np.add.at(below, up, mixed[k + 1])
+                rest[k] = left.astype(np.float32)
+                below = _log_kt_of(left)
+                np.add.at(below, up, mixed)
                 split = np.zeros(len(counts), bool)
                 split[up] = True
                 both = np.logaddexp(log_own, below) - np.log(2)
-                mixed[k] = np.where(split[:, None], both, log_own)
-                share[k] = np.where(split[:, None], np.exp(log_own - np.log(2) - both), 1.0)
-        del mixed
+                above = np.where(split[:, None], both, log_own)
+                share[k] = np.where(split[:, None], np.exp(log_own - np.log(2) - both), 1.0).astype(np.float32)
+            mixed = above
         self.log = np.empty((offset[-1], 256), np.float32)
         gained, weight = np.zeros((1, 255)), np.ones((1, 255))
-        for k, (_, counts) in enumerate(levels):
+        for k in range(len(levels)):
+            counts = levels[k][1]
             if k:
                 gained, weight = gained[parent[k]], weight[parent[k]]
-            zeros, ones = _binary(counts)
-            own = (ones + 0.5) / (zeros + ones + 1)
-            gained = gained + weight * share[k] * own
-            weight = weight * (1 - share[k])
-            last = own
-            if rest[k] is not None:
-                zeros, ones = _binary(rest[k])
-                last = np.where(zeros + ones > 0, (ones + 0.5) / (zeros + ones + 1), own)
-            self.log[offset[k] : offset[k + 1]] = _log_bytes(gained + weight * last)
+            for s in range(0, len(counts), SLICE):
+                some = slice(s, s + SLICE)
+                own = np.nan_to_num(_one(counts[some]), nan=0.5)
+                gained[some] += weight[some] * share[k][some] * own
+                weight[some] *= 1 - share[k][some]
+                if rest[k] is None:
+                    last = own
+                else:
+                    last = _one(rest[k][some])
+                    last = np.where(np.isnan(last), own, last)
+                self.log[offset[k] + s : offset[k] + s + len(own)] = _log_bytes(gained[some] + weight[some] * last)
         # The node of a k-gram ending here comes from that of its first k - 1 bytes, which ended one byte before.
         self.next = []
         for k in range(1, len(levels)):

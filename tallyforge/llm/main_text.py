@@ -51,6 +51,10 @@ OUTSIDE = frozenset(["script", "style", "noscript", "template", "head", "nav", "
 #: Words of class, id and role that name what isn't main text.
 NAMES = frozenset(["ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"])
 
+#: Those that are believed whatever the element holds, and the elements that speak against the others.
+SURE = frozenset(["breadcrumb", "breadcrumbs", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "pagination"])
+HEADED = frozenset(["h1", "main"])
+
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*:/*(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
@@ -61,11 +65,24 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _holds(node: Node, tags: frozenset[str]) -> bool:
+    return any(kid.__class__ is not str and (kid.tag in tags or _holds(kid, tags)) for kid in node.kids)
+
+
 def excluded(node: Node, in_article: bool) -> bool:
-    """Whether HTML or its naming marks the element as not main text."""
+    """Whether HTML or its naming marks the element as not main text.
+
+    The head of an article is its own. A name such as ``with-sidebar`` on what
+    holds the page's heading tells of the layout and excludes nothing.
+    """
     if node.tag in OUTSIDE or node.hidden or node.tag == "header" and not in_article:
         return True
-    return bool(node.name) and not NAMES.isdisjoint(_SPLIT.split(node.name))
+    if not node.name or node.tag in ("html", "body", "main"):
+        return False
+    found = NAMES.intersection(_SPLIT.split(node.name))
+    if in_article:
+        found -= {"header"}
+    return bool(found) and (not found.isdisjoint(SURE) or not _holds(node, HEADED))
 
 
 class Run:

@@ -16,6 +16,8 @@ WANT = "Title & more\nFirst bold para\xadgraph.\nSecond line\none\ntwo"
     f"<main>{ARTICLE}<div class='related posts'>More</div></main><p>outside</p>",
     ARTICLE.replace("</article>", "<div class=\"comments\"><p>First!</p></div></article>"),
     ARTICLE.replace("</p>", "").replace("</article>", ""),
+    f"<body class='has-sidebar'><div class='content with-sidebar'>{ARTICLE.replace('<article>', '<article><header>').replace('</h1>', '</h1></header>')}</div><div id=header><h1>Site</h1></div></body>",
+    ARTICLE.replace("<h1>", "<div class='entry-header'><h1>").replace("</h1>", "</h1></div>"),
     f"<body><div hidden>no</div><noscript>no</noscript>{ARTICLE}<p clas",
 ])
 def test_marked_pages(page):

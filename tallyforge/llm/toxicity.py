@@ -78,33 +78,35 @@ class BlockMaxIndex:
             for t, w in v.items():
                 postings[t].append((i, w))
         self.n_blocks = -(-len(vectors) // BLOCK)
+        #: Each term's vectors and weights, and its blocks with the largest weight in each.
         self.postings = {}
         for t, found in postings.items():
-            ids = np.array([i for i, _ in found])
-            weights = np.array([w for _, w in found])
+            ids, weights = np.array([i for i, _ in found]), np.array([w for _, w in found])
             block = ids // BLOCK
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            bounds = dict(zip(block[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True), strict=True))
-            self.postings[t] = (ids, weights, block[first], np.maximum.reduceat(weights, first), bounds)
+            self.postings[t] = (ids, weights, block[first], np.maximum.reduceat(weights, first))
 
     def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(score, vector) of at least the k best with a positive score, ties at the k-th place included, best first."""
-        lists = [(w, self.postings[t]) for t, w in query.items() if t in self.postings]
+        lists = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
+        if not lists:
+            return []
         bound = np.zeros(self.n_blocks)
-        for w, (_, _, block, most, _) in lists:
+        for w, _, _, block, most in lists:
             bound[block] += w * most
+        ids = np.concatenate([x[1] for x in lists])
+        parts = np.concatenate([x[0] * x[2] for x in lists])
+        order = np.argsort(ids, kind="stable")
+        ids, parts = ids[order], parts[order]
+        cut = np.searchsorted(ids, np.arange(self.n_blocks + 1) * BLOCK)
         best: list[float] = []
         found: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(best) == k and bound[b] < best[0] - 1e-9:
                 break
-            scores = np.zeros(BLOCK)
-            for w, (ids, weights, _, _, bounds) in lists:
-                if b in bounds:
-                    s, e = bounds[b]
-                    scores[ids[s:e] - b * BLOCK] += w * weights[s:e]
-            for i in np.flatnonzero(scores).tolist():
-                s = float(scores[i])
+            scores = np.bincount(ids[cut[b] : cut[b + 1]] - b * BLOCK, parts[cut[b] : cut[b + 1]], BLOCK)
+            at = np.flatnonzero(scores > (best[0] - 1e-9 if len(best) == k else 0))
+            for i, s in zip(at.tolist(), scores[at].tolist(), strict=True):
                 found.append((s, b * BLOCK + i))
                 if len(best) < k:
                     heapq.heappush(best, s)
@@ -176,26 +178,21 @@ class Model:
 
 
 class Scorer:
-    """Scores texts, remembering the indexed terms of words."""
+    """Scores texts. A word whose first letters begin no indexed term has none, which settles nearly all words at once."""
 
-    def __init__(self, model: Model, remembered: int = 150_000) -> None:
-        self.model, self.remembered = model, remembered
-        self.of_word: dict[str, tuple[int, ...]] = {}
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.heads = frozenset(t[: PREFIXES[0]] for t in model.vocabulary)
 
     def score(self, doc: int | None, text: str) -> tuple[float, list[tuple[int, float]]]:
-        m, known = self.model, self.of_word
+        m, heads, n = self.model, self.heads, PREFIXES[0]
+        words = _WORD.findall(text.lower())
         counts: Counter = Counter()
-        rest = 0
-        for w in _WORD.findall(text.lower()):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= self.remembered:
-                    known.clear()
-                ids = known[w] = marks(m.vocabulary, w)
-            if ids:
-                counts.update(ids)
-            else:
-                rest += 1
+        rest = len(words)
+        for w in [w for w in words if w[:n] in heads]:
+            ids = marks(m.vocabulary, w)
+            counts.update(ids)
+            rest -= bool(ids)
         if not counts:
             return m.without, []
         if rest:

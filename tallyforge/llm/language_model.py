@@ -109,7 +109,8 @@ def _count(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordB
 def counted(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(kind, key, n): words by hash, and (depth + 1)-grams by their bytes, the last one lowest."""
     found = texts.select("text").mapInArrow(tidy(lambda batches: _count(batches, depth)), "kind byte, key long, n long")
-    return checkpointed(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    # Tasks have added up already, so the rows are dealt out first and Spark adds once, not before the exchange too.
+    return checkpointed(found.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:

@@ -185,6 +185,15 @@ def balance_trend_gapfill(l: Ledger) -> DataFrame:
     return series.trend(mine, series.sparse_snapshots(mine, l.classifications), series.daily_flows(mine), F.lit(_TREND_DAYS[0]), F.lit(_TREND_DAYS[1]))
 
 
+@query()
+def balance_trend_gapfill_all(l: Ledger) -> DataFrame:
+    """The trend of every account, those of the system too."""
+    return series.trend(l.entries, series.sparse_snapshots(l.entries, l.classifications), series.daily_flows(l.entries), F.lit(_TREND_DAYS[0]), F.lit(_TREND_DAYS[1]))
+
+
+ORACLES["balance_trend_gapfill_all"] = ORACLES["balance_trend_gapfill"].replace(" WHERE account_holder BETWEEN 1 AND 200", "")
+
+
 @query(f"""WITH days AS (SELECT CAST(unnest(generate_series(DATE '1998-06-01', DATE '1998-06-30', INTERVAL 1 DAY)) AS DATE) AS snapshot_date)
 SELECT {_ACCOUNT}, d.snapshot_date, arg_max(s.balance, s.snapshot_date) AS balance FROM snaps s, days d WHERE s.snapshot_date <= d.snapshot_date GROUP BY ALL""")
 def snapshots_dense(l: Ledger) -> DataFrame:

@@ -1,0 +1,12 @@
+"""The queries that take every row where their namesakes take a range of ids."""
+
+from tallyforge import catalog
+from tallyforge.plans.lens import Ledger
+
+
+def test_trend_of_every_account(spark, sf):
+    accounts = Ledger(spark, sf).entries.select(*catalog.ACCOUNT).distinct()
+    assert accounts.where("account_holder NOT BETWEEN 1 AND 200").count() > 0
+    assert "BETWEEN 1 AND 200" not in catalog.ORACLES["balance_trend_gapfill_all"]
+    days = catalog.QUERIES["balance_trend_gapfill_all"](spark, sf).groupBy(*catalog.ACCOUNT).count()
+    assert days.exceptAll(accounts.selectExpr("*", "90L AS count")).count() == 0 and days.count() == accounts.count()

@@ -419,6 +419,15 @@ def full_reversal_entries(l: Ledger) -> DataFrame:
     return reversals.full(l.journals.where("id <= 2000").select(F.col("id").alias("journal_id")), l.journals, l.entries)
 
 
+@query()
+def full_reversal_entries_all(l: Ledger) -> DataFrame:
+    """Every journal requested."""
+    return reversals.full(l.journals.select(F.col("id").alias("journal_id")), l.journals, l.entries)
+
+
+ORACLES["full_reversal_entries_all"] = ORACLES["full_reversal_entries"].replace(" WHERE id <= 2000", "")
+
+
 @query(f"""SELECT journal_id, id AS entry_id, account_holder, currency_id, classification_id, CASE entry_type WHEN 'debit' THEN 'credit' ELSE 'debit' END AS entry_type,
     CAST(CAST((2 * CAST(amount * 100 AS BIGINT) + 3) // 6 AS DECIMAL(20,0)) * CAST(0.01 AS DECIMAL(3,2)) AS {A}) AS amount, CAST(NULL AS VARCHAR) AS reject_reason FROM entries""")
 def fraction_reversal_entries(l: Ledger) -> DataFrame:

@@ -10,3 +10,10 @@ def test_trend_of_every_account(spark, sf):
     assert "BETWEEN 1 AND 200" not in catalog.ORACLES["balance_trend_gapfill_all"]
     days = catalog.QUERIES["balance_trend_gapfill_all"](spark, sf).groupBy(*catalog.ACCOUNT).count()
     assert days.exceptAll(accounts.selectExpr("*", "90L AS count")).count() == 0 and days.count() == accounts.count()
+
+
+def test_reversal_of_every_journal(spark, sf):
+    journals = Ledger(spark, sf).journals.selectExpr("id AS journal_id")
+    assert "2000" not in catalog.ORACLES["full_reversal_entries_all"]
+    judged = catalog.QUERIES["full_reversal_entries_all"](spark, sf).select("journal_id").distinct()
+    assert judged.exceptAll(journals).count() == 0 and journals.exceptAll(judged).count() == 0

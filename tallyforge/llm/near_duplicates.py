@@ -13,7 +13,8 @@ also get the cluster's hub, and only what is still apart from the main component
 is then compared, block by block, with the rest. Nothing is sampled or capped.
 
 With 16 bands of 4 coordinates a pair at Jaccard 0.85 is missed with
-probability 8e-6, and less above.
+probability 8e-6, and less above; below PERCENT there are 24 bands, which miss a
+pair at 0.80 with 3e-6.
 
 Defined results: null texts and texts without words have an empty set, link with
 nothing and are their own component; a null doc_id has no component and is kept;
@@ -36,23 +37,25 @@ from tallyforge.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
+#: Bands where links are asked for below PERCENT.
+MORE_BANDS = 24
 UNIVERSE = 1 << 20
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; PERCENT where none is asked for.
 PERCENT = 85
 #: Distinct shingles and documents of one group of a verification task; larger clusters are cut.
 CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 4_000
 
 
-@lru_cache(1)
+@lru_cache(2)
 def circulant(coordinates: int) -> np.ndarray:
     """Row s: the second permutation at s, shifted by 0 to ``coordinates`` - 1."""
     table = np.random.default_rng(20).permutation(UNIVERSE).astype(np.int32)
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([table, table[:coordinates]]), coordinates)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """The circulant MinHash coordinates of a set of shingle hashes."""
-    table = circulant(BANDS * ROWS)
+    table = circulant(bands * ROWS)
     place = (shingles >> U64(44)).astype(np.int64)
     out = table[place[:2048]].min(axis=0)
     for k in range(2048, len(place), 2048):
@@ -73,7 +76,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), bands; the last two are null for empty sets."""
 
     @tidy
@@ -84,8 +87,8 @@ def features(docs: DataFrame) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list[np.ndarray | None] = [None] * len(sets)
             if full:
-                rows = np.stack([signature(sets[i]) for i in full]).astype(U64).reshape(-1, BANDS, ROWS)
-                mixed = np.zeros((len(full), BANDS), U64) + np.arange(BANDS, dtype=U64)
+                rows = np.stack([signature(sets[i], n_bands) for i in full]).astype(U64).reshape(-1, n_bands, ROWS)
+                mixed = np.zeros((len(full), n_bands), U64) + np.arange(n_bands, dtype=U64)
                 for k in range(ROWS):
                     mixed = splitmix(mixed * U64(0x9E3779B97F4A7C15) + rows[:, :, k])
                 for i, b in zip(full, mixed.view(np.int64), strict=True):
@@ -95,7 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def link_sets(ids: np.ndarray, sets: list[np.ndarray], hub: int = 0, against: np.ndarray | None = None) -> list[tuple[int, int]]:
+def link_sets(ids: np.ndarray, sets: list[np.ndarray], hub: int = 0, against: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (id, id) that join what is linked, found on full sets.
 
     Each set outside the hub's component is compared with all others through an
@@ -118,7 +121,7 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], hub: int = 0, against: np
         counts = np.searchsorted(every, sets[i], "right") - low
         at = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
         shared = np.bincount(owner[at], minlength=n)
-        near = np.flatnonzero(100 * shared >= PERCENT * (sizes + sizes[i] - shared))
+        near = np.flatnonzero(100 * shared >= percent * (sizes + sizes[i] - shared))
         for j in near.tolist():
             if root[i] != root[j]:
                 root[root == root[j]] = root[i]
@@ -126,8 +129,7 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], hub: int = 0, against: np
     return links
 
 
-@tidy
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (group, node, hub, against, text), those of a group side by side -> links (a, b)."""
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -140,7 +142,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             if b - a > 1:
                 at = np.flatnonzero(ids[a:b] == hub[a])
-                links += link_sets(ids[a:b], sets[a:b], int(at[0]) if len(at) else 0, against[a:b] if against[a:b].any() else None)
+                links += link_sets(ids[a:b], sets[a:b], int(at[0]) if len(at) else 0, against[a:b] if against[a:b].any() else None, percent)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
@@ -159,13 +161,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _links(rows: DataFrame) -> DataFrame:
-    return rows.repartition("grp").sortWithinPartitions("grp").select("grp", "node", "hub", "against", "text").mapInArrow(_verify, "a long, b long")
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    return rows.repartition("grp").sortWithinPartitions("grp").select("grp", "node", "hub", "against", "text").mapInArrow(tidy(lambda batches: _verify(batches, percent)), "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    found = checkpointed(features(docs))
+    found = checkpointed(features(docs, BANDS if percent >= PERCENT else MORE_BANDS))
     full = found.where("set_key is not null and doc_id is not null")
     # Written out, so that the join below is between two plain exchanges, which Spark can split where one set is in many documents.
     classes = checkpointed(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
@@ -187,10 +189,10 @@ def groups(docs: DataFrame) -> DataFrame:
     no = F.lit(False).alias("against")
     first = cand.select(group("cluster", "chunk"), "node", "hub", no, "text")
     hubs = spread.where("node = hub").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).where("to <> chunk").select(group("cluster", "to"), "node", "hub", no, "text")
-    links = _links(first.unionAll(hubs) if seen["cut"] else first)
+    links = _links(first.unionAll(hubs) if seen["cut"] else first, percent)
     if seen["cut"]:
         links = checkpointed(links)
-        links = links.unionAll(_rest(spread, links))
+        links = links.unionAll(_rest(spread, links, percent))
     joined = components(links)
     label = joined.withColumnRenamed("node", "rep")
     some = member.select("doc_id", "rep", "n_shingles").join(label, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -198,7 +200,7 @@ def groups(docs: DataFrame) -> DataFrame:
     return some.unionAll(none).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _rest(spread: DataFrame, links: DataFrame) -> DataFrame:
+def _rest(spread: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links of what is not yet in the main component of its large cluster, compared with all of the cluster in blocks."""
     found = components(links)
     label = spread.drop("text").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -210,9 +212,9 @@ def _rest(spread: DataFrame, links: DataFrame) -> DataFrame:
     group = lambda *c: F.xxhash64(*c).alias("grp")
     rows = whole.where("is_apart").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).select(group("cluster", "part", "to"), "node", F.lit(-1).cast("long").alias("hub"), F.lit(False).alias("against"), "text")
     others = whole.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).where("is_apart is null or part <> from").select(group("cluster", "from", "chunk"), "node", F.lit(-1).cast("long").alias("hub"), F.lit(True).alias("against"), "text")
-    return _links(rows.unionAll(others))
+    return _links(rows.unionAll(others), percent)
 
 
-def unique(docs: DataFrame) -> DataFrame:
+def unique(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The kept document of each component, with all its columns."""
-    return docs.join(groups(docs).where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    return docs.join(groups(docs, percent).where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")

@@ -104,3 +104,14 @@ def test_query(spark, sf):
     from tallyforge.llm import queries
 
     same_rows(queries.QUERIES["op4_near_duplicates"](spark, sf), queries.ORACLES["op4_near_duplicates"], sf)
+
+
+def test_a_pair_between_80_and_85_percent_links_at_80(spark):
+    base = [f"w{k}" for k in range(104)]  # 100 shingles
+    text = " ".join(base)
+    near = " ".join([*base[:50], "x", *base[51:94], *base[95:]])
+    a, b = shingles(text), shingles(near)
+    assert 80 <= 100 * len(a & b) / len(a | b) < 85
+    docs = spark.createDataFrame([(1, text), (2, near)], "doc_id long, text string")
+    assert [r.kept for r in n.groups(docs).orderBy("doc_id").collect()] == [True, True]
+    assert [r.doc_id for r in n.unique(docs, 80).collect()] == [1]

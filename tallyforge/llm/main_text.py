@@ -4,8 +4,9 @@ Every page becomes a DOM tree in which neighbouring elements of one kind are one
 node, each with a hash of the text below it. The trees of a host are aligned by
 simple tree matching and merged into a wrapper: tasks merge the pages they read,
 then wrappers are merged host by host in two steps, so all pages take part and no
-task holds more than wrappers. A wrapper node whose text is the same on most of
-its pages is template; the varying slots are content. Wrappers are small; if all
+task holds more than wrappers. The elements of a node are counted by their text,
+each once a page: what most of the node's pages hold is template, wherever it stands
+among its neighbours; the varying slots are content. Wrappers are small; if all
 of them together are at most SENT_BYTES they go to the tasks, else pages are
 joined with the wrapper of their host.
 
@@ -36,7 +37,7 @@ from tallyforge.llm.dom import BLOCKS, Node, parse
 
 #: Pages that make a constant node template, outside and inside the article, and the share of them that must agree.
 FEW, MANY, SHARE = 3, 8, 0.8
-#: Values counted for each wrapper node (a frequent-items summary).
+#: Values counted for each element that a page has at a wrapper node (a frequent-items summary).
 VALUES = 8
 SENT_BYTES = 64 << 20
 PAGE_BYTES = 2 << 20
@@ -148,15 +149,19 @@ def _digest(node: Node, into: xxhash.xxh64) -> None:
             _digest(kid, into)
 
 
-def value(r: Run) -> int:
-    """A hash of the text below a run."""
+def value(node: Node) -> int:
+    """A hash of the text below an element."""
     into = xxhash.xxh64()
-    for node in r.nodes:
-        _digest(node, into)
+    _digest(node, into)
     return into.intdigest() >> 12
 
 
-#: A wrapper node: [label, pages, {value: count}, children].
+def values(r: Run) -> dict[int, int]:
+    """The values of a run's elements, each once."""
+    return dict.fromkeys(map(value, r.nodes), 1)
+
+
+#: A wrapper node: [label, pages, {value: pages}, children, pages that a value may lack, values met].
 Wrap = list
 
 
@@ -187,14 +192,24 @@ def match_size(kids: list[Run] | list[Wrap], wraps: list[Wrap], pick: bool = Fal
     return best[a][b], pairs[::-1]
 
 
-def _frequent(counts: dict, more: dict) -> dict:
-    """The sum of two frequent-items summaries, cut to VALUES entries by taking the next largest count from all."""
+def _frequent(w: Wrap, pages: int, more: dict, lost: int, met: int) -> None:
+    """Adds counts to a node's frequent-items summary. When full it is cut to VALUES entries for each element of a page by taking the next largest count from all, which is noted as lost."""
+    w[1] += pages
+    w[4] += lost
+    w[5] += met
+    counts = w[2]
     for v, n in more.items():
         counts[v] = counts.get(v, 0) + n
-    if len(counts) > VALUES:
-        cut = sorted(counts.values(), reverse=True)[VALUES]
-        counts = {v: n - cut for v, n in counts.items() if n > cut}
-    return counts
+    room = VALUES * max(1, -(-w[5] // w[1]))
+    if len(counts) > 2 * room:
+        cut = sorted(counts.values(), reverse=True)[room]
+        w[2] = {v: n - cut for v, n in counts.items() if n > cut}
+        w[4] += cut
+
+
+def _common(w: Wrap) -> dict[int, int]:
+    """The values that most of the node's pages hold."""
+    return {v: n for v, n in w[2].items() if n + w[4] >= SHARE * w[1]}
 
 
 def merge(wraps: list[Wrap], others: list[Wrap]) -> None:
@@ -205,8 +220,7 @@ def merge(wraps: list[Wrap], others: list[Wrap]) -> None:
         if i in pairs:
             out += wraps[place : pairs[i]]
             mine = wraps[pairs[i]]
-            mine[1] += other[1]
-            mine[2] = _frequent(mine[2], other[2])
+            _frequent(mine, other[1], other[2], other[4], other[5])
             merge(mine[3], other[3])
             out.append(mine)
             place = pairs[i] + 1
@@ -217,7 +231,7 @@ def merge(wraps: list[Wrap], others: list[Wrap]) -> None:
 
 
 def as_wrap(found: list[Run]) -> list[Wrap]:
-    return [[r.label, 1, {value(r): 1}, as_wrap(r.kids)] for r in found]
+    return [[r.label, 1, each := values(r), as_wrap(r.kids), 0, len(each)] for r in found]
 
 
 class Inducer:
@@ -241,8 +255,8 @@ class Inducer:
             flat: list[Run] = []
             self._flat(found, flat)
             for r, w in zip(flat, seen, strict=True):
-                w[1] += 1
-                w[2] = _frequent(w[2], {value(r): 1})
+                each = values(r)
+                _frequent(w, 1, each, 0, len(each))
 
     def _flat(self, found: list[Run], out: list[Run]) -> None:
         for r in found:
@@ -252,7 +266,7 @@ class Inducer:
     def _align(self, found: list[Run], wraps: list[Wrap], out: list[Wrap]) -> None:
         pairs = dict(match_size(found, wraps, True)[1])
         for i, r in enumerate(found):
-            w = wraps[pairs[i]] if i in pairs else [r.label, 0, {}, []]
+            w = wraps[pairs[i]] if i in pairs else [r.label, 0, {}, [], 0, 0]
             out.append(w)
             self._align(r.kids, w[3], out)
 
@@ -300,10 +314,10 @@ def _template(found: list[Run], wraps: list[Wrap], dropped: set[int], in_article
             continue
         w = wraps[pairs[i]]
         inside = in_article or r.label.split(".")[0] in ("article", "main")
-        same = w[2].get(value(r), 0)
-        if same >= SHARE * w[1] and w[1] >= (MANY if inside else FEW):
-            dropped.update(map(id, r.nodes))
-        else:
+        common = _common(w) if w[1] >= (MANY if inside else FEW) else {}
+        same = [id(node) for node in r.nodes if value(node) in common] if common else []
+        dropped.update(same)
+        if len(same) < len(r.nodes):
             _template(r.kids, w[3], dropped, inside)
 
 
@@ -349,6 +363,21 @@ def _merge_group(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"host": [key[0].as_py()], "wrapper": [_dump(wraps)]})
 
 
+def _only_common(wraps: list[Wrap]) -> None:
+    """Leaves only values that can be template; for wrappers that nothing more is added to."""
+    for w in wraps:
+        w[2] = _common(w)
+        _only_common(w[3])
+
+
+def _merge_last(key: tuple, rows: pa.Table) -> pa.Table:
+    wraps: list[Wrap] = []
+    for text in rows["wrapper"].to_pylist():
+        merge(wraps, _load(text))
+    _only_common(wraps)
+    return pa.table({"host": [key[0].as_py()], "wrapper": [_dump(wraps)]})
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper as JSON) of all pages."""
 
@@ -371,7 +400,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     part = pages.select("url", "html").mapInArrow(run, "host string, wrapper string")
     some = part.withColumn("salt", F.spark_partition_id() % 32).groupBy("host", "salt").applyInArrow(_merge_group, "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(_merge_group, "host string, wrapper string")
+    return some.groupBy("host").applyInArrow(_merge_last, "host string, wrapper string")
 
 
 def _extracted(batch: pa.RecordBatch, wraps: list[list[Wrap] | None]) -> pa.RecordBatch:

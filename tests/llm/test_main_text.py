@@ -80,3 +80,19 @@ def test_operator(spark, sent):
     texts += [(100, WANT), (101, ""), (102, ""), (103, "Home")]
     assert got == sorted((k, t, len(t)) for k, t in texts)
     assert m.extracted(df.where("false"), sent).count() == 0
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_constant_elements_among_varying_ones_are_template(spark, sent):
+    """A notice among the paragraphs of the article, at a place that differs, and the cells of a table layout."""
+    prose = lambda k: [f"<p>Story {k}, part {i}</p>" for i in range(3 + k % 5)]
+    rows, want = [], {}
+    for k in range(40):
+        parts = prose(k)
+        parts.insert(k % 3, "<p>Read also our letter</p>")
+        rows.append((k, "http://a.org/x", f"<article><h1>Head {k}</h1>{''.join(parts)}</article>"))
+        want[k] = "\n".join([f"Head {k}", *(f"Story {k}, part {i}" for i in range(3 + k % 5))])
+        rows.append((100 + k, "http://b.org/x", f"<table><tr><td>Start</td><td>Contact</td></tr><tr><td>Text of {k}</td><td>More of {k}</td></tr><tr><td>All rights</td></tr></table>"))
+        want[100 + k] = f"Text of {k}\nMore of {k}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in m.extracted(df, sent).collect()} == want

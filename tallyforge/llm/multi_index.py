@@ -3,7 +3,8 @@
 Each half of the vectors has its own codebook; a vector's cell is its pair of
 centroids. A query walks the pairs of centroids by the sum of two distances
 (each the negated inner product with a half, as nearness is the inner product)
-with a heap, until the cells it has passed hold SHARE of the distinct vectors.
+with a heap, until the cells it has passed hold SHARE of the distinct vectors and
+k entries besides the query's own, or all are passed.
 All entries of those cells are ranked by the exact inner product.
 
 The codebooks are fitted on at most SAMPLE vectors (smallest hashes of vec_id);
@@ -53,18 +54,19 @@ def nearest(half: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * half @ centres.T).argmin(axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, want: float) -> list[tuple[int, int]]:
-    """The pairs of centroids by summed distance, until they hold ``want`` vectors."""
+def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, want: float, rows: np.ndarray | None = None, need: int = 0) -> list[tuple[int, int]]:
+    """The pairs of centroids by summed distance, until they hold ``want`` vectors and, by ``rows``, ``need`` entries."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
     a, b = a.tolist(), b.tolist()
-    cell = sizes.tolist()
+    cell, entries = sizes.tolist(), (sizes if rows is None else rows).tolist()
     heap = [(x[0] + y[0], 0, 0)]
-    out, held = [], 0
-    while heap and held < want:
+    out, held, met = [], 0, 0
+    while heap and (held < want or met < need):
         _, i, j = heapq.heappop(heap)
         out.append((a[i], b[j]))
         held += cell[a[i]][b[j]]
+        met += entries[a[i]][b[j]]
         if j + 1 < len(y):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(x):
@@ -132,8 +134,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
     # At most CENTROIDS ** 2 rows. Equal vectors count once, so that a common vector doesn't end the walk early.
     cells = index.groupBy("cu", "cv").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v"), 0.02).alias("distinct"), F.count_if("q").alias("nq")).collect()
     sizes, held = np.zeros((CENTROIDS, CENTROIDS), np.int64), np.zeros(CENTROIDS, np.int64)
+    count = np.zeros_like(sizes)
     for c in cells:
-        sizes[c.cu, c.cv] = c.distinct
+        sizes[c.cu, c.cv], count[c.cu, c.cv] = c.distinct, c.n
         held[c.cu] += c.n
     total, n_queries = int(held.sum()), sum(c.nq for c in cells)
     n_groups = max(1, min(CENTROIDS, -(-total // ENTRIES)))
@@ -150,7 +153,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
             keys, words, source = [], [], []
             for r in range(len(m)):
                 mask = [0] * CENTROIDS
-                for a, b in walk(d1[r], d2[r], sizes, want):
+                for a, b in walk(d1[r], d2[r], sizes, want, count, k + 1):
                     mask[a] |= 1 << b
                 for g in range(n_groups):
                     if any(mask[g::n_groups]):

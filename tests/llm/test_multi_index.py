@@ -60,3 +60,10 @@ def test_defined_cases(spark):
     assert m.search(t.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     few = t.where("vec_id <= 3 OR vec_id = 20")
     assert m.search(few, F.col("vec_id") % 20 == 0).count() == 3, "all candidates, if fewer"
+
+
+def test_few_distinct_vectors_give_all_that_there_are(spark):
+    r = np.random.default_rng(5)
+    for n, want in ((10, 9), (25, 20)):
+        t = spark.createDataFrame([(k, x) for k, x in enumerate(r.normal(size=(n, 8)).tolist(), 20)], "vec_id long, embedding array<double>")
+        assert m.search(t, F.col("vec_id") == 20).count() == want

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 
+#: The temporary folder of each application in local mode.
+_LOCAL: dict[str, str] = {}
+
 
 def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A task's generator that hands its memory back to the system when it ends. Python workers outlive their tasks."""
@@ -34,11 +38,33 @@ def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
     return wrapped
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode without it, a temporary one, which lasts as long as the session."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+            removed_at_end(spark, _LOCAL[app])
+        found = _LOCAL[app]
+    return found
+
+
+def removed_at_end(spark: SparkSession, folder: str) -> None:
+    """Has the driver remove a folder of ours when the application ends; results are read lazily, so not before."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to ``spark.checkpoint.dir``; a temporary folder serves where that is unset."""
+    """``df`` written once below the shared folder, in a folder of this application, and read back."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-"))
+        sc.setCheckpointDir(_shared(df.sparkSession))
+    removed_at_end(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint()
 
 
@@ -49,10 +75,34 @@ def counted(df: DataFrame, *sums: str) -> tuple[DataFrame, dict[str, int]]:
     return out, seen.get
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), or a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or "file://" + tempfile.mkdtemp(prefix="tallyforge-")
+def own_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared one, removed when the application ends."""
+    folder = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    removed_at_end(spark, folder)
+    return folder
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, lists: str, most: int) -> Iterator[pa.Table]:
+    """Rows that come group by group of ``key``, in tables of whole groups that hold about ``most`` values of ``lists`` (a larger group is a table of its own)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        at = 0
+        column = batch.column(key).to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1]) if len(column) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(batch.column(lists).value_lengths().to_numpy(zero_copy_only=False))])
+        for s in starts.tolist():
+            if size + total[s] - total[at] < most or not (s or held and held[-1].column(key)[-1].as_py() != column[0]):
+                continue
+            if s > at:
+                held.append(batch.slice(at, s - at))
+            yield pa.Table.from_batches(held)
+            held, size, at = [], 0, s
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            size += int(total[-1] - total[at])
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

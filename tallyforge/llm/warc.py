@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from tallyforge.llm.common import checkpointed, shared_dir
+from tallyforge.llm.common import checkpointed, own_folder
 
 #: Compressed bytes of a partition, and of records before a new place to cut.
 SPLIT_BYTES = 16 << 20
@@ -346,7 +346,7 @@ def read(spark: SparkSession, path: str, payload: str = "true") -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages to the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = own_folder(spark, "warc")
     write_pages(pages, path)
     back = read(spark, path, "verify")
     return back.select(_page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", _page("refers_to").alias("refers_to"))

@@ -11,7 +11,7 @@ import pytest
 from tallyforge.llm import language_model as m
 
 
-def direct(train, text, depth, least):
+def direct(train, text, depth):
     """log10 P of a text, by walking context trees of dictionaries."""
     def stream(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
@@ -23,10 +23,9 @@ def direct(train, text, depth, least):
         for i in range(depth, len(s)):
             for k in range(depth + 1):
                 counts[s[i - k : i]][s[i]] += 1
-    node = lambda c: c == b"" or sum(counts[c].values()) >= least if c in counts or c == b"" else False
     kids = defaultdict(list)
     for c in list(counts):
-        if c and node(c):
+        if c:
             kids[c[1:]].append(c)
 
     def split(of, j, p):
@@ -36,31 +35,21 @@ def direct(train, text, depth, least):
 
     kt = lambda a, o: math.lgamma(a + 0.5) + math.lgamma(o + 0.5) - math.lgamma(a + o + 1) - math.log(math.pi)
 
-    def rest(c):
-        left = Counter(counts[c])
-        for x in kids[c]:
-            left.subtract(counts[x])
-        return left
-
     def weighted(c, j, p):
         own = kt(*split(counts[c], j, p))
-        if not kids[c] or len(c) == depth:
+        if len(c) == depth or not any(split(counts[c], j, p)):
             return own
-        below = kt(*split(rest(c), j, p)) + sum(weighted(x, j, p) for x in kids[c])
+        below = sum(weighted(x, j, p) for x in kids[c])
         return np.logaddexp(own, below) - math.log(2)
 
     def one(context, c, j, p):
         a, o = split(counts[c], j, p)
         own = (o + 0.5) / (a + o + 1)
-        if not kids[c] or len(c) == depth:
+        if len(c) == depth or not a + o:
             return own
         share = math.exp(kt(a, o) - math.log(2) - weighted(c, j, p))
         further = context[len(context) - len(c) - 1 :]
-        if further in kids[c]:
-            below = one(context, further, j, p)
-        else:
-            a, o = split(rest(c), j, p)
-            below = (o + 0.5) / (a + o + 1) if a + o else own
+        below = one(context, further, j, p) if further in kids[c] and any(split(counts[further], j, p)) else own
         return share * own + (1 - share) * below
 
     s, total = stream(text), 0.0
@@ -77,21 +66,27 @@ def test_tree_equals_the_direct_recursion(spark, depth):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     got = {r.doc_id: r for r in m.scored(docs, depth).collect()}
-    n_bytes = sum(len(b"".join(x.encode() + b" " for x in t.split())) + 1 for t in train)
-    least = max(2, -(-n_bytes // m.NODES))
     for i, t in texts.items():
-        assert got[i].score == pytest.approx(direct(train, t, depth, least), rel=1e-5)
-
-
-def test_probabilities_sum_to_one(spark, sf):
-    counts = m.counted(spark.read.parquet(f"{sf}/documents.parquet"))
-    tree = m.tree(counts)
-    assert len(tree.log) > 100
-    assert np.abs((10.0 ** tree.log.astype(float)).sum(axis=1) - 1).max() < 1e-4
-
-
-def test_base_score_and_counts(spark, sf, monkeypatch):
-    monkeypatch.setattr(m, "FREQUENT", 200)  # most words take the way of the join
+        assert got[i].score == pytest.approx(direct(train, t, depth), rel=1e-5)
+
+
+def test_probabilities_sum_to_one():
+    r = np.random.default_rng(3)
+    text = np.frombuffer(b"the cat sat on the mat and the dog sat on the cat " * 20, np.uint8)[r.integers(0, 500, 4000)]
+    seen = m.grams(np.concatenate([np.full(3, m.END, np.uint8), text]), np.array([3, 3 + len(text) + 3]), 3)
+    keys, n = np.unique(seen, return_counts=True)
+    sums = []
+    for levels in m.subtrees(keys, n.astype(float), 3):
+        up = levels[0].above()
+        at, _ = m._place(up.key, levels[0].parents())
+        sums.append((up.key, up.zeros, up.ones, np.bincount(at, weights=levels[0].log, minlength=len(up.key))))
+    top = m.Top(3, sums)
+    for context in [*np.unique(keys >> np.uint64(8))[:40].tolist(), 0x616263, 0xC3A920]:
+        every = np.uint64(context) << np.uint64(8) | np.arange(256, dtype=np.uint64)
+        assert (10 ** top.log10(keys, n.astype(float), every)).sum() == pytest.approx(1)
+
+
+def test_base_score_and_counts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(low)), None] for r in docs.collect()}
@@ -105,6 +100,14 @@ def test_base_score_and_counts(spark, sf, monkeypatch):
         assert r.score < 0
 
 
+def test_parts_do_not_change_the_scores(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: (r.n_known, r.base_score, r.score) for r in m.scored(docs).collect()}
+    monkeypatch.setattr(m, "WEIGHED", 300)
+    got = {r.doc_id: (r.n_known, r.base_score, r.score) for r in m.scored(docs.repartition(3), part_bytes=20_000).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+
+
 def test_better_than_the_base_on_held_out_texts(spark):
     """On 25 MB of text. On 2 MB the base, which knows whole words, is still ahead by a tenth of a digit a token."""
     held = m.scored(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()

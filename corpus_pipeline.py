@@ -7,13 +7,11 @@ returns the token digest of each document.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import byte_bpe, decontamination, near_duplicates, pii, toxicity
-from tallyforge.llm.common import shared_dir
+from tallyforge.llm.common import own_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +53,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

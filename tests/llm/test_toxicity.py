@@ -1,7 +1,10 @@
 """Exact neighbours, held-out quality, defined cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 from hypothesis import given, settings
@@ -17,10 +20,85 @@ VECTORS = st.lists(st.dictionaries(st.integers(0, 12), st.sampled_from([0.1, 0.2
 def test_search_is_exact(vectors, query, k):
     scores = [sum(w * v.get(f, 0) for f, w in query.items()) for v in vectors]
     want = sorted(((s, i) for i, s in enumerate(scores) if s > 0), key=lambda x: (-x[0], x[1]))
-    got = t.BlockMaxIndex(vectors).search(query, k)
-    assert np.allclose([s for s, _ in got[:k]], [s for s, _ in want[:k]])
-    least = want[min(k, len(want)) - 1][0] if want else 0
-    assert {i for _, i in got} == {i for s, i in want if s >= least - 1e-9}, "ties included"
+    pair = lambda v: (np.array(list(v), np.int64), np.array(list(v.values()), float))
+    for short in (0, 20, 1000):
+        t.SHORT = short
+        found, score = t.BlockMaxIndex([pair(v) for v in vectors], 15).search([pair(query)], k)[0]
+        assert np.allclose(sorted(score, reverse=True)[:k], [s for s, _ in want[:k]])
+        least = want[min(k, len(want)) - 1][0] if want else 0
+        assert set(found.tolist()) == {i for i, s in enumerate(scores) if s > 0 and s >= least - 1e-9}, "ties included"
+        left = sorted((s for s, i in want if i % 3), reverse=True)[:k]
+        found, score = t.BlockMaxIndex([pair(v) for v in vectors], 15).search([pair(query)], k, [np.arange(0, len(vectors), 3)])[0]
+        assert np.allclose(sorted(score, reverse=True)[:k], left) and not any(i % 3 == 0 for i in found.tolist())
+
+
+def plain_terms(text):
+    out = Counter()
+    for w in re.findall(r"[a-z\x80-\U0010ffff]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))):
+        out[w] += 1
+        for size in t.PREFIXES:
+            if len(w) > size:
+                out[w[:size], size] += 1
+    return out
+
+
+def plain_scores(docs, labels):
+    """Scores of (doc_id, text) rows by the definitions, with dictionaries and all pairs."""
+    usable = defaultdict(int)
+    for d, y in labels:
+        if d is not None and y in (0, 1) and zlib.crc32(str(d).encode()) % 4 != 2:
+            usable[d] = max(usable[d], y)
+    kept = {}
+    for d, text in docs:
+        if d in usable:
+            kept[text or ""] = max(kept.get(text or "", 0), usable[d])
+    texts, n = list(kept), [sum(y == z for y in kept.values()) for z in (0, 1)]
+    counts = [plain_terms(x) for x in texts]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log((len(texts) + 1) / (k + 1)) ** t.POWER for w, k in df.items() if k >= max(2, t.FLOOR * len(texts))}
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * idf[w] for w, k in c.items() if w in idf}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    vectors = [vector(c) for c in counts]
+    prior = n[1] / sum(n)
+
+    def vote(text):
+        v = vector(plain_terms(text))
+        near = sorted(((sum(x * o.get(w, 0) for w, x in v.items()), other) for other, o in zip(texts, vectors, strict=True) if other != (text or "")), reverse=True)[: t.NEIGHBOURS]
+        total, toxic = sum(s for s, _ in near), sum(s for s, o in near if kept[o])
+        return bool(v), (toxic + prior) / (total + 1)
+
+    loo = [(vote(x), kept[x]) for x in texts]
+    none = [sum(y == z for (known, _), y in loo if not known) for z in (0, 1)]
+    pools = []
+    for x, y in sorted((vote, y) for (known, vote), y in loo if known):
+        pools.append([x, y, 1])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    at, rate = [p[0] / p[2] for p in pools], [(p[1] + prior) / (p[2] + 1) for p in pools]
+    out = []
+    for _, text in docs:
+        known, x = vote(text)
+        out.append(0.99 * float(np.interp(x, at, rate)) + 0.01 * x if known else (none[1] + prior) / (sum(none) + 1))
+    return out
+
+
+def test_scores_equal_the_definitions(spark):
+    docs, labels = made(spark, 300)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(1000 + i, text) for i, text in rows[:40]] + [(2000, ""), (2001, None), (None, "vilewrd"), (2002, "Étée ÉTÉE vilewrds")]
+    given = [(r.doc_id, r.toxic) for r in labels.collect()] + [(1001, 1), (1002, 0), (5, None), (None, 1)]
+    got = t.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(given, "doc_id long, toxic int"))
+    by_text = {}
+    for (_, text), s in zip(rows, plain_scores(rows, given), strict=True):
+        by_text[text or ""] = s
+    texts = {d: text for d, text in rows}
+    for r in got.collect():
+        assert abs(r.score - by_text[texts[r.doc_id] or ""]) < 1e-6, "copies under other ids score alike"
 
 
 def made(spark, n=600):
@@ -44,6 +122,7 @@ def test_held_out_documents(spark):
         assert r.predicted == int(i % 6 == 0) and 0 <= r.score <= 1
         assert (r.score >= 0.3) == (r.predicted == 1)
         assert not any(part.split(":")[0] == str(i) for part in r.evidence.split(",")), "never its own neighbour"
+        assert r.evidence
     assert sorted(r.doc_id for r in t.accepted(docs, labels).collect()) == [i for i in range(600) if i % 6]
 
 
@@ -61,7 +140,9 @@ def test_defined_cases(spark):
 
 
 def test_driver_labels(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     got = t.scored(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
-    assert got and sum(r.predicted == r.toxic for r in got) > 0.9 * len(got)
+    toxic, flagged = [r for r in got if r.toxic == 1], [r for r in got if r.predicted == 1]
+    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic), "recall"
+    assert sum(r.toxic == 1 for r in flagged) >= 0.8 * len(flagged), "precision"

@@ -6,11 +6,14 @@ benchmark item), and binary-searches every suffix of every benchmark item: the
 interval narrows by one word at a time, which gives its longest verbatim match
 and where the matches are. A document lies whole in one shard, so nothing is
 shuffled. Benchmark items reach the tasks in blocks of bounded size; more items
-mean more blocks, not a larger broadcast.
+mean more blocks, not a larger broadcast, and each shard is searched for all blocks
+in one pass, so every input row gives one output row.
 
 Defined results: null and empty texts have no words and are never hit; items
-without words match nothing; repeated documents are each marked; extra columns
-are ignored.
+without words match nothing; very long texts are a shard of their own; repeated
+rows and repeated or null doc_ids are each marked; items of one item_id count
+once; an empty table gives no rows, an empty benchmark no hits; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from tallyforge.llm.common import NOT_ALNUM, chunks, hash_words, tidy, utf8, words
 
 WINDOW = 10
-#: Bytes of benchmark text that one pass sends to the tasks.
-BLOCK_BYTES = 8 << 20
+#: Characters of benchmark text in a block.
+BLOCK_BYTES = 4 << 20
 #: Bytes of training text in a shard.
 SHARD_BYTES = 4 << 20
 
@@ -35,11 +37,9 @@ SHARD_BYTES = 4 << 20
 class Queries:
     """The suffixes of a block of benchmark items, as word hashes."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW) -> None:
-        buf, at = utf8(pa.array(texts, pa.string()))
-        starts, ends, row = words(buf, at, NOT_ALNUM)
+    def __init__(self, ids: list[int], hashes: np.ndarray, row: np.ndarray, window: int = WINDOW) -> None:
         self.window = window
-        self.hashes = hash_words(buf, starts, ends)
+        self.hashes = hashes
         n = len(self.hashes)
         count = np.bincount(row, minlength=len(ids))
         self.ids = ids
@@ -52,6 +52,13 @@ class Queries:
         self.deepest = int(self.left.max(initial=0))
 
 
+def hashed(ids: list[int], texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The items' word hashes and the item of each."""
+    buf, at = utf8(pa.array(texts, pa.string()))
+    starts, ends, row = words(buf, at, NOT_ALNUM)
+    return ids, hash_words(buf, starts, ends), row
+
+
 class SuffixArray:
     """All word suffixes of a shard in order, as far as ``depth`` words tell them apart."""
 
@@ -131,108 +138,111 @@ def _covered(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _shard(hashes: np.ndarray, row: np.ndarray, rows: int, q: Queries) -> tuple[list[list[list[int]]], list[list[str]], np.ndarray]:
-    """Per document: ranges of words that are hit, items found, longest match of a found item's suffixes."""
-    ranges: list[list[list[int]]] = [[] for _ in range(rows)]
-    items: list[list[str]] = [[] for _ in range(rows)]
-    best = np.zeros(rows, np.int64)
-    array = SuffixArray(hashes, row, rows, q.deepest)
-    longest, low, high = array.search(q)
-    sizes = high - low
-    if not sizes.any():
-        return ranges, items, best
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    at = array.order[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)]
-    doc = np.searchsorted(array.ends, at, "left")
-    np.maximum.at(best, doc, longest[which])
-    pairs = np.unique(doc * len(q.ids) + q.item[which])
-    for d, i in zip((pairs // len(q.ids)).tolist(), (pairs % len(q.ids)).tolist(), strict=True):
-        items[d].append(str(q.ids[i]))
-    begin = np.concatenate([[0], array.ends[:-1] + 1])[doc]
-    for d, s, e in zip(doc.tolist(), (at - begin).tolist(), (at - begin + q.need[which]).tolist(), strict=True):
-        ranges[d].append([s, e])
-    return [_covered(r) for r in ranges], items, best
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
-    """The items that have text, in blocks of about BLOCK_BYTES; each item is in one block. At least one block."""
+class Found:
+    """What a shard's documents hold: ranges of words that are hit, items, and the longest match of a found item's suffixes."""
+
+    def __init__(self, hashes: np.ndarray, row: np.ndarray, rows: int, depth: int) -> None:
+        self.ranges: list[list[list[int]]] = [[] for _ in range(rows)]
+        self.items: list[set[str]] = [set() for _ in range(rows)]
+        self.longest = np.zeros(rows, np.int64)
+        self.array = SuffixArray(hashes, row, rows, depth)
+
+    def add(self, q: Queries) -> None:
+        """Searches every suffix of a block of items."""
+        array = self.array
+        longest, low, high = array.search(q)
+        sizes = high - low
+        if not sizes.any():
+            return
+        which = np.repeat(np.arange(len(sizes)), sizes)
+        at = array.order[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)]
+        doc = np.searchsorted(array.ends, at, "left")
+        np.maximum.at(self.longest, doc, longest[which])
+        pairs = np.unique(doc * len(q.ids) + q.item[which])
+        for d, i in zip((pairs // len(q.ids)).tolist(), (pairs % len(q.ids)).tolist(), strict=True):
+            self.items[d].add(str(q.ids[i]))
+        begin = np.concatenate([[0], array.ends[:-1] + 1])[doc]
+        for d, s, e in zip(doc.tolist(), (at - begin).tolist(), (at - begin + q.need[which]).tolist(), strict=True):
+            self.ranges[d].append([s, e])
+        for d in np.unique(doc).tolist():
+            self.ranges[d] = _covered(self.ranges[d])
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The items that have text, in blocks of about ``block_bytes``; each item is in one block."""
     ids, texts, size = [], [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if ids and size + len(r.text) > BLOCK_BYTES // 2:
+        if ids and size + len(r.text) > block_bytes:
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(r.item_id)
         texts.append(r.text)
         size += len(r.text)
-    yield ids, texts
-
-
-_SCHEMA = "doc_id long, n_words long, ranges array<array<long>>, items array<string>, longest long"
+    if ids:
+        yield ids, texts
+
+
+class Sent:
+    """The blocks of a benchmark, sent to the tasks. The driver and a task hold one at a time, however many there are."""
+
+    def __init__(self, benchmark: DataFrame, window: int, block_bytes: int) -> None:
+        sc = benchmark.sparkSession.sparkContext
+        self.window, self.depth, self.parts = window, 0, []
+        for block in _blocks(benchmark, block_bytes):
+            packed = hashed(*block)
+            self.depth = max(self.depth, Queries(*packed, window).deepest)
+            self.parts.append(sc.broadcast(packed))
+        self._only: Queries | None = None
+
+    def blocks(self) -> Iterator[Queries]:
+        if self._only is not None:
+            yield self._only
+            return
+        for part in self.parts:
+            q = Queries(*part.value, self.window)
+            if len(self.parts) == 1:
+                self._only = q
+            vars(part).pop("_value", None)  # read again from the executor's disk when it is needed again
+            yield q
+
+    def search(self, batch: pa.RecordBatch) -> tuple[Found, np.ndarray]:
+        """What the batch's texts hold of all blocks, and their numbers of words. The suffix array is built once."""
+        buf, at = utf8(batch.column("text"))
+        starts, ends, row = words(buf, at, NOT_ALNUM)
+        found = Found(hash_words(buf, starts, ends), row, batch.num_rows, self.depth)
+        for q in self.blocks():
+            found.add(q)
+        return found, np.bincount(row, minlength=batch.num_rows).astype(np.int64)
 
 
-def _search(docs: DataFrame, ids: list[int], texts: list[str], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: n_words, ranges of hit words (end exclusive), items found (strings, sorted) and longest match."""
+    sent = Sent(benchmark, window, block_bytes)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Queries(*sent.value, window)
         for batch in chunks(batches, "text", SHARD_BYTES):
-            buf, at = utf8(batch.column("text"))
-            starts, ends, row = words(buf, at, NOT_ALNUM)
-            n_words = np.bincount(row, minlength=batch.num_rows).astype(np.int64)
-            ranges, items, best = _shard(hash_words(buf, starts, ends), row, batch.num_rows, q)
-            columns = [batch.column("doc_id"), pa.array(n_words), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(best)]
+            found, n_words = sent.search(batch)
+            columns = [batch.column("doc_id"), pa.array(n_words), pa.array(found.ranges, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(i) for i in found.items], pa.list_(pa.string())), pa.array(found.longest)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "ranges", "items", "longest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, ranges array<array<long>>, items array<string>, longest long")
 
 
-@F.udf(ArrayType(ArrayType(LongType())))
-def _join_ranges(ranges):  # noqa: ANN001, ANN202
-    return _covered([list(r) for r in ranges])
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: n_words, ranges of hit words (end exclusive), items found (strings, sorted) and longest match.
-
-    A benchmark of more than one block is searched block by block and the
-    ranges are joined by ``doc_id``, which must then be unique.
-    """
-    parts = [_search(docs, *block, window) for block in _blocks(benchmark)]
-    if len(parts) > 1:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionAll(p)
-        out = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), _join_ranges(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
-    else:
-        out = parts[0]
-    return out.withColumn("items", F.array_sort(F.array_distinct("items")))
-
-
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``matches`` with the digest columns: n_hit, n_items, items_sha256, contaminated."""
-    found = matches(docs, benchmark, window)
+    found = matches(docs, benchmark, window, block_bytes)
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda total, r: total + r[1] - r[0])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("ranges") > 0).alias("contaminated"), "longest")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no window of any benchmark item, with all their columns. Block after block, without a join."""
-    for block in _blocks(benchmark):
-        docs = _without(docs, *block, window)
-    return docs
-
-
-def _without(docs: DataFrame, ids: list[int], texts: list[str], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any benchmark item, with all their columns."""
+    sent = Sent(benchmark, window, block_bytes)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Queries(*sent.value, window)
         for batch in chunks(batches, "text", SHARD_BYTES):
-            buf, at = utf8(batch.column("text"))
-            starts, ends, row = words(buf, at, NOT_ALNUM)
-            ranges, _, _ = _shard(hash_words(buf, starts, ends), row, batch.num_rows, q)
-            yield batch.filter(pa.array([not r for r in ranges], pa.bool_()))
+            yield batch.filter(pa.array([not r for r in sent.search(batch)[0].ranges], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

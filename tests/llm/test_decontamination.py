@@ -46,24 +46,25 @@ def test_a_shard_finds_what_a_plain_search_finds(texts, items):
 
     buf, at = utf8(pa.array(texts, pa.string()))
     s, e, row = words(buf, at, NOT_ALNUM)
-    q = d.Queries(list(range(len(items))), items, 3)
-    ranges, found, best = d._shard(hash_words(buf, s, e), row, len(texts), q)
-    for r, f, want in zip(ranges, found, plain(list(enumerate(texts)), list(enumerate(items)), 3), strict=True):
+    every = [d.Queries(*d.hashed(list(range(a, b)), items[a:b]), 3) for a, b in ((0, 2), (2, len(items))) if a < b]
+    found = d.Found(hash_words(buf, s, e), row, len(texts), max((q.deepest for q in every), default=0))
+    for q in every:
+        found.add(q)
+    for r, f, want in zip(found.ranges, found.items, plain(list(enumerate(texts)), list(enumerate(items)), 3), strict=True):
         assert sum(b - a for a, b in r) == want[2]
         assert len(f) == want[3]
 
 
 @pytest.mark.parametrize("block", [8 << 20, 8])
-def test_defined_cases(spark, monkeypatch, block):
-    monkeypatch.setattr(d, "BLOCK_BYTES", block)
+def test_defined_cases(spark, block):
     ten = "One two three four five six seven eight nine ten"
-    docs = [(1, f"x {ten} y", None, "a"), (2, None, "en", None), (3, "", "en", "b"), (4, f"pre {ten.upper()} {ten}", "en", "c"), (5, "one two three", None, None), (6, "short item", None, None), (7, f"{ten[:-3]}", None, None), (8, "zz " * 5000 + ten + " zz" * 5000, None, None)]
+    docs = [(1, f"x {ten} y", None, "a"), (2, None, "en", None), (3, "", "en", "b"), (4, f"pre {ten.upper()} {ten}", "en", "c"), (5, "one two three", None, None), (6, "short item", None, None), (7, f"{ten[:-3]}", None, None), (8, "zz " * 5000 + ten + " zz" * 5000, None, None), (1, f"x {ten} y", None, "a"), (1, "other", None, None), (None, ten, None, None), (None, "no", None, None)]
     items = [(10, f"{ten} eleven"), (2, ten), (7, "Short, item!"), (8, ""), (9, None), (11, "..."), (2, ten)]
-    got = d.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
-    rows = sorted(tuple(r)[:6] for r in got.collect())
-    assert rows == sorted(plain([x[:2] for x in docs], list(dict.fromkeys(items))))
-    kept = d.clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 7] and kept.columns == ["doc_id", "text", "lang", "items"]
+    got = d.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    rows = sorted((tuple(r)[:6] for r in got.collect()), key=str)
+    assert rows == sorted(plain([x[:2] for x in docs], list(dict.fromkeys(items))), key=str), "one row each, in any number of blocks"
+    kept = d.clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 5, 7] and kept.columns == ["doc_id", "text", "lang", "items"]
 
 
 def test_empty_tables(spark):

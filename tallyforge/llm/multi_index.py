@@ -3,20 +3,24 @@
 Each half of the vectors has its own codebook; a vector's cell is its pair of
 centroids. A query walks the pairs of centroids by the sum of two distances
 (each the negated inner product with a half, as nearness is the inner product)
-with a heap, until the cells it has passed hold SHARE of the distinct vectors and
-k entries besides the query's own, or all are passed.
-All entries of those cells are ranked by the exact inner product.
-
-The codebooks are fitted on at most SAMPLE vectors (smallest hashes of vec_id);
-every vector is indexed. Entries are dealt by groups of first-half centroids,
-large groups in chunks, and meet the queries in blocks of bounded size; each
-block gives its best k for each query, which are merged. Unclustered vectors of
-64 dimensions need a large SHARE: at 0.6 the measured recall of the 20 nearest is
-0.95 to 0.98.
-
-Defined results: vectors that are null, zero, hold null or non-finite components
-or aren't of the prevailing length take no part; ties go to the smaller vec_id;
-repeated vectors are all entries; an empty table gives no rows.
+with a heap. The first cells, up to FIRST times k entries, are ranked by the exact
+inner product; the k-th best of them then rules out every further cell whose bound
+(the centroids' inner product and the cell's radii times the query's norms) is
+below it. The walk ends when the cells it has passed hold SHARE of the distinct
+vectors and k entries besides the query's own, or all are passed.
+
+The codebooks are fitted on at most SAMPLE vectors (smallest hashes of vec_id) and
+grow with the table (``centroids``); every vector is indexed. Entries are dealt once
+a phase by groups of first-half centroids, large groups in chunks; queries go to
+the groups they visit and stream past the entries there, each group giving its best
+k for each query. Vectors with clusters need few cells; unclustered vectors of 64
+dimensions need a large SHARE, and there no cell is ruled out.
+
+Defined results: vectors that are null, zero, hold null or non-finite components,
+or have no vec_id take no part; vectors of different lengths aren't compared, so
+each length is an index of its own; ties go to the smaller vec_id; repeated
+vectors are all entries, and rows of the query's own vec_id none; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +35,16 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import checkpointed, tidy
 
-CENTROIDS = 64
 SAMPLE = 20_000
 SHARE = 0.6
-ENTRIES, QUERIES = 8192, 2048
+FIRST = 8
+#: Entries of a chunk.
+ENTRIES = 8192
+
+
+def centroids(n: int) -> int:
+    """The size of each codebook for ``n`` vectors: a power of two near n ** 0.4, 64 at least and no more than SAMPLE vectors can tell apart."""
+    return int(min(512, max(64, 2 ** round(0.4 * np.log2(max(2, n))))))
 
 
 def codebook(half: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
@@ -54,24 +64,62 @@ def nearest(half: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * half @ centres.T).argmin(axis=1)
 
 
-def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, want: float, rows: np.ndarray | None = None, need: int = 0) -> list[tuple[int, int]]:
-    """The pairs of centroids by summed distance, until they hold ``want`` vectors and, by ``rows``, ``need`` entries."""
+def walk(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs of centroids by summed distance."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y = first[a].tolist(), second[b].tolist()
     a, b = a.tolist(), b.tolist()
-    cell, entries = sizes.tolist(), (sizes if rows is None else rows).tolist()
     heap = [(x[0] + y[0], 0, 0)]
-    out, held, met = [], 0, 0
-    while heap and (held < want or met < need):
+    while heap:
         _, i, j = heapq.heappop(heap)
-        out.append((a[i], b[j]))
-        held += cell[a[i]][b[j]]
-        met += entries[a[i]][b[j]]
+        yield a[i], b[j]
         if j + 1 < len(y):
             heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(x):
             heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
-    return out
+
+
+class Index:
+    """The codebooks and, by cell, its rows, distinct vectors and the radii of its halves: at most ``centroids`` ** 2 cells, whatever the table holds."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray) -> None:
+        self.one, self.two, self.cut = one, two, one.shape[1]
+        self.shape = len(one), len(two)
+
+    def cells(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both centroids of each vector, and the distances to them."""
+        a, b = m[:, : self.cut], m[:, self.cut :]
+        u, v = nearest(a, self.one), nearest(b, self.two)
+        return u, v, np.sqrt(((a - self.one[u]) ** 2).sum(axis=1)), np.sqrt(((b - self.two[v]) ** 2).sum(axis=1))
+
+    def fill(self, cells: list, share: float, k: int) -> None:
+        self.rows, self.distinct = np.zeros(self.shape, np.int64), np.zeros(self.shape, np.int64)
+        self.radius = np.zeros((2, *self.shape))
+        for c in cells:
+            self.rows[c.cu, c.cv], self.distinct[c.cu, c.cv] = c.n, c.distinct
+            self.radius[:, c.cu, c.cv] = c.ru, c.rv
+        self.want, self.k = share * self.distinct.sum(), k
+        held = self.rows.sum(axis=1)
+        self.n_groups = max(1, min(self.shape[0], -(-int(held.sum()) // ENTRIES)))
+        self.chunks = [max(1, -(-int(held[g :: self.n_groups].sum()) // ENTRIES)) for g in range(self.n_groups)]
+
+    def plan(self, q: np.ndarray, least: float | None = None) -> list[tuple[int, int]]:
+        """The cells to rank for a query: the first ones, or those after them whose bound reaches ``least``."""
+        one, two = self.one @ q[: self.cut], self.two @ q[self.cut :]
+        norms = np.linalg.norm(q[: self.cut]), np.linalg.norm(q[self.cut :])
+        out = []
+        held = met = 0
+        for u, v in walk(-one, -two):
+            if not self.rows[u, v]:
+                continue
+            early = bool(met < FIRST * self.k)
+            if early is (least is None) and (early or one[u] + two[v] + norms[0] * self.radius[0, u, v] + norms[1] * self.radius[1, u, v] >= least - 1e-9):
+                out.append((u, v))
+            held += self.distinct[u, v]
+            met += self.rows[u, v]
+            if held >= self.want and met > self.k or least is None and not early:
+                break
+        return out
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -84,25 +132,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and the vector as doubles, of the rows that take part."""
     e = F.col("embedding")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    fine = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0)).select("vec_id", e.cast("array<double>").alias("v"))
-    sizes = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return fine.where(F.size("v") == (sizes[0].n if sizes else 0))
+    return vectors.where(F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0)).select("vec_id", e.cast("array<double>").alias("v"))
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, masks: np.ndarray, ids: np.ndarray, e: np.ndarray, u: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best entries among the cells of its masks (bit v of word u), its own row left out."""
+    """Each query's k best entries among the cells of its masks (bit v of word u), its own rows left out."""
     out: tuple[list, list, list] = ([], [], [])
+    word, bit = u * masks.shape[2] + v // 8, (np.uint8(1) << (v % 8).astype(np.uint8))
+    masks = masks.reshape(len(masks), -1)
     for s in range(0, len(q), 256):
         score = q[s : s + 256] @ e.T
-        allowed = masks[s : s + 256][:, u] >> v.astype(np.uint64) & np.uint64(1)
-        score[(allowed == 0) | (q_ids[s : s + 256, None] == ids)] = -np.inf
-        for r in range(len(score)):
-            row = score[r]
-            if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                at = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least))) & (row > -np.inf)) if least > -np.inf else np.flatnonzero(row > -np.inf)
-            else:
-                at = np.flatnonzero(row > -np.inf)
+        score[(masks[s : s + 256][:, word] & bit == 0) | (q_ids[s : s + 256, None] == ids)] = -np.inf
+        if len(ids) > k:
+            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            near = (score >= np.where(least > -np.inf, least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)[:, None]) & (score > -np.inf)
+        else:
+            near = score > -np.inf
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
+            at = np.flatnonzero(near[r])
             exact = (e[at] * q[s + r]).sum(axis=1)  # the same order of additions for equal vectors
             top = np.lexsort((ids[at], -exact))[:k]
             out[0].append(np.full(len(top), q_ids[s + r]))
@@ -111,71 +158,106 @@ def best(q_ids: np.ndarray, q: np.ndarray, masks: np.ndarray, ids: np.ndarray, e
     return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float), strict=True))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of each query's k nearest found."""
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    if not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fitted = _matrix(sample["v"])
-    cut = max(1, fitted.shape[1] // 2)
-    books = spark.sparkContext.broadcast((codebook(fitted[:, :cut], CENTROIDS), codebook(fitted[:, cut:], CENTROIDS) if fitted.shape[1] > cut else np.zeros((1, 0))))
+_DEALT = "g int, c int, asks boolean, vec_id long, v array<double>, cu int, cv int, mask binary"
+
+
+def _ranked(entries: DataFrame, asked: DataFrame, shape: tuple[int, int], k: int) -> DataFrame:
+    """The best k of each query in each chunk: entries of a chunk come first, then queries stream past them."""
+    width = -(-shape[1] // 8)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, parts, held = None, [], None
+        for batch in batches:
+            key = batch.column("g").to_numpy().astype(np.int64) << 33 | batch.column("c").to_numpy().astype(np.int64) << 1 | batch.column("asks").to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a == b:
+                    continue
+                some = batch.slice(a, b - a)
+                if key[a] >> 1 != place:
+                    place, parts, held = key[a] >> 1, [], None
+                if not key[a] & 1:
+                    parts.append(some)
+                    continue
+                if held is None:
+                    table = pa.Table.from_batches(parts) if parts else None
+                    held = (table["vec_id"].to_numpy(), _matrix(table["v"]), table["cu"].to_numpy(), table["cv"].to_numpy()) if table else ()
+                    parts = []
+                if held:
+                    masks = np.frombuffer(b"".join(some.column("mask").to_pylist()), np.uint8).reshape(some.num_rows, shape[0], width)
+                    found = best(some.column("vec_id").to_numpy(), _matrix(some.column("v")), masks, *held, k)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["query_id", "vec_id", "score"])
+
+    both = entries.unionAll(asked).repartition("g", "c").sortWithinPartitions("g", "c", "asks")
+    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
+def _search(rows: DataFrame, is_query: Column, k: int, share: float) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("q", F.coalesce(is_query, F.lit(False)))
+    fitted = _matrix(rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"])
+    cut, size = max(1, fitted.shape[1] // 2), centroids(rows.count())
+    index = Index(codebook(fitted[:, :cut], size), codebook(fitted[:, cut:], size) if fitted.shape[1] > cut else np.zeros((1, 0)))
+    books = spark.sparkContext.broadcast(index)
 
     @tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = books.value
         for batch in batches:
-            m = _matrix(batch.column("v"))
-            u, v = nearest(m[:, :cut], one).astype(np.int32), nearest(m[:, cut:], two).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(u), pa.array(v), batch.column("q")], ["vec_id", "v", "cu", "cv", "q"])
-
-    index = checkpointed(rows.withColumn("q", F.coalesce(is_query, F.lit(False))).mapInArrow(assign, "vec_id long, v array<double>, cu int, cv int, q boolean"))
-    # At most CENTROIDS ** 2 rows. Equal vectors count once, so that a common vector doesn't end the walk early.
-    cells = index.groupBy("cu", "cv").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v"), 0.02).alias("distinct"), F.count_if("q").alias("nq")).collect()
-    sizes, held = np.zeros((CENTROIDS, CENTROIDS), np.int64), np.zeros(CENTROIDS, np.int64)
-    count = np.zeros_like(sizes)
-    for c in cells:
-        sizes[c.cu, c.cv], count[c.cu, c.cv] = c.distinct, c.n
-        held[c.cu] += c.n
-    total, n_queries = int(held.sum()), sum(c.nq for c in cells)
-    n_groups = max(1, min(CENTROIDS, -(-total // ENTRIES)))
-    chunks = [max(1, -(-int(held[g::n_groups].sum()) // ENTRIES)) for g in range(n_groups)]
-    blocks = max(1, -(-n_queries // QUERIES))
-    want = share * sizes.sum()
+            if batch.num_rows:
+                u, v, ru, rv = books.value.cells(_matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), batch.column("q"), pa.array(u.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(ru), pa.array(rv)], ["vec_id", "v", "q", "cu", "cv", "ru", "rv"])
+
+    placed = checkpointed(rows.mapInArrow(assign, "vec_id long, v array<double>, q boolean, cu int, cv int, ru double, rv double"))
+    # Equal vectors count once, so that a common vector doesn't end the walk early.
+    index.fill(placed.groupBy("cu", "cv").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v"), 0.02).alias("distinct"), F.max("ru").alias("ru"), F.max("rv").alias("rv")).collect(), share, k)
+    filled = spark.sparkContext.broadcast(index)
 
     @tidy
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = books.value
+        it = filled.value
         for batch in batches:
-            m = _matrix(batch.column("v"))
-            d1, d2 = -m[:, :cut] @ one.T, -m[:, cut:] @ two.T
-            keys, words, source = [], [], []
-            for r in range(len(m)):
-                mask = [0] * CENTROIDS
-                for a, b in walk(d1[r], d2[r], sizes, want, count, k + 1):
-                    mask[a] |= 1 << b
-                for g in range(n_groups):
-                    if any(mask[g::n_groups]):
-                        for c in range(chunks[g]):
-                            keys.append((g, c))
-                            words.append(np.array(mask, np.uint64).view(np.int64))
-                            source.append(r)
+            keys, masks, source = [], [], []
+            bounds = batch.column("least").to_pylist()
+            for r, q in enumerate(_matrix(batch.column("v")) if batch.num_rows else []):
+                cells = it.plan(q, bounds[r])
+                if not cells:
+                    continue
+                mask = np.zeros((it.shape[0], -(-it.shape[1] // 8)), np.uint8)
+                u, v = np.array(cells).T
+                np.bitwise_or.at(mask, (u, v // 8), np.uint8(1) << (v % 8).astype(np.uint8))
+                packed = mask.tobytes()
+                for g in np.unique(u % it.n_groups).tolist():
+                    for c in range(it.chunks[g]):
+                        keys.append((g, c))
+                        masks.append(packed)
+                        source.append(r)
             at = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(words, pa.list_(pa.int64()))], ["g", "c", "vec_id", "v", "mask"])
+            none = pa.nulls(len(keys), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()), pa.array([True] * len(keys), pa.bool_()), batch.column("vec_id").take(at), batch.column("v").take(at), none, none, pa.array(masks, pa.binary())], ["g", "c", "asks", "vec_id", "v", "cu", "cv", "mask"])
 
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b")
-    asked = index.where("q").select("vec_id", "v").mapInArrow(probe, "g int, c int, vec_id long, v array<double>, mask array<long>").select("*", block)
-    n_chunks = F.element_at(F.array(*map(F.lit, chunks)), F.col("g") + 1)
-    entries = index.withColumn("g", F.col("cu") % n_groups).select("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), n_chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "v", "cu", "cv")
+    n_chunks = F.element_at(F.array(*map(F.lit, index.chunks)), F.col("g") + 1)
+    entries = placed.withColumn("g", F.col("cu") % index.n_groups).select("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), n_chunks).cast("int").alias("c"), F.lit(False).alias("asks"), "vec_id", "v", "cu", "cv", F.lit(None).cast("binary").alias("mask"))
+    asks = placed.where("q").dropDuplicates(["vec_id"]).select("vec_id", "v")
+    begun = checkpointed(_top(_ranked(entries, asks.withColumn("least", F.lit(None).cast("double")).mapInArrow(probe, _DEALT), index.shape, k), k).drop("rank"))
+    least = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
+    further = asks.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    more = _ranked(entries, further.mapInArrow(probe, _DEALT), index.shape, k)
+    return _top(begun.unionAll(more), k).select("query_id", "rank", "vec_id", "score")
 
-    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        else:
-            found = best(left["vec_id"].to_numpy(), _matrix(left["v"]), _matrix(left["mask"]).view(np.uint64), right["vec_id"].to_numpy(), _matrix(right["v"]), right["cu"].to_numpy(), right["cv"].to_numpy(), k)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
-    near = asked.groupBy("g", "c", "b").cogroup(entries.groupBy("g", "c", "b")).applyInArrow(rank, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of each query's k nearest found."""
+    rows = usable(vectors)
+    lengths = [r.n for r in rows.select(F.size("v").alias("n")).distinct().collect()]
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for k_th, n in enumerate(sorted(lengths)):
+        found = _search(rows.where(F.size("v") == n), is_query, k, share)
+        out = found if not k_th else out.unionAll(found)
+    return out

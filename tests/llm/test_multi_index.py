@@ -1,5 +1,7 @@
 """Recall and exact scores against brute force; the walk; the defined cases."""
 
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,11 +11,36 @@ from tallyforge.llm import multi_index as m
 def test_walk_goes_by_summed_distance():
     r = np.random.default_rng(2)
     a, b, sizes = r.random(9), r.random(7), r.integers(0, 5, (9, 7))
-    cells = m.walk(a, b, sizes, 10**9)
+    cells = list(m.walk(a, b))
     sums = [a[i] + b[j] for i, j in cells]
     assert len(set(cells)) == 63 and sums == sorted(sums)
-    few = m.walk(a, b, sizes, 20)
-    assert few == cells[: len(few)] and sum(sizes[i, j] for i, j in few) >= 20 > sum(sizes[i, j] for i, j in few[:-1])
+
+
+def filled(x, share, k=20):
+    """The index of vectors in memory, and the cell of each."""
+    size, cut = m.centroids(len(x)), x.shape[1] // 2
+    index = m.Index(m.codebook(x[:, :cut], size), m.codebook(x[:, cut:], size))
+    u, v, ru, rv = index.cells(x)
+    rows = [SimpleNamespace(cu=a, cv=b, n=int(some.sum()), distinct=int(some.sum()), ru=ru[some].max(), rv=rv[some].max()) for a, b in set(zip(u.tolist(), v.tolist(), strict=True)) for some in [(u == a) & (v == b)]]
+    index.fill(rows, share, k)
+    return index, u, v
+
+
+def test_the_bound_rules_out_no_neighbour_and_clusters_need_few_cells():
+    r = np.random.default_rng(7)
+    middle = r.normal(size=(60, 16))
+    x = middle[r.integers(0, 60, 6000)] + 0.1 * r.normal(size=(6000, 16))
+    index, u, v = filled(x, 1.0)
+    ranked = []
+    for q in range(0, 6000, 200):
+        first = set(index.plan(x[q]))
+        inside = lambda cells: np.array([c in cells for c in zip(u.tolist(), v.tolist(), strict=True)])
+        score = x @ x[q]
+        least = np.sort(score[inside(first)])[-20]
+        every = inside(first | set(index.plan(x[q], least)))
+        assert every[np.argsort(-score)[:20]].all(), "with the whole table as share the search is exact"
+        ranked.append(every.mean())
+    assert np.mean(ranked) < 0.2
 
 
 def brute(ids, x, q, k=20):
@@ -45,18 +72,17 @@ def test_many_blocks_and_chunks_give_the_same(spark, sf, monkeypatch):
     t = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = sorted(tuple(r) for r in m.search(t, F.col("vec_id") % 20 == 0).collect())
     monkeypatch.setattr(m, "ENTRIES", 37)
-    monkeypatch.setattr(m, "QUERIES", 5)
     assert sorted(tuple(r) for r in m.search(t, F.col("vec_id") % 20 == 0).collect()) == want
 
 
 def test_defined_cases(spark):
     same = [(k, [1.0, 2.0, 3.0, 4.0], "x") for k in range(30, 0, -1)]
-    odd = [(100, None, "x"), (101, [0.0] * 4, "x"), (102, [1.0, None, 1.0, 1.0], "x"), (103, [float("nan"), 1.0, 1.0, 1.0], "x"), (104, [float("inf"), 1.0, 1.0, 1.0], "x"), (105, [1.0, 2.0], "x"), (None, [1.0] * 4, "x"), (120, [1.0, 0.0, 0.0, 0.0], "x")]
+    odd = [(100, None, "x"), (101, [0.0] * 4, "x"), (102, [1.0, None, 1.0, 1.0], "x"), (103, [float("nan"), 1.0, 1.0, 1.0], "x"), (104, [float("inf"), 1.0, 1.0, 1.0], "x"), (105, [1.0, 2.0], "x"), (140, [2.0, 3.0], "x"), (None, [1.0] * 4, "x"), (120, [1.0, 0.0, 0.0, 0.0], "x")]
     t = spark.createDataFrame([*same, *odd], "vec_id long, embedding array<double>, rank string")
     got: dict = {}
     for r in m.search(t, F.col("vec_id") % 20 == 0, share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == {20: [(k, 30.0) for k in range(1, 22) if k != 20][:20], 120: [(k, 1.0) for k in range(1, 21)]}
+    assert got == {20: [(k, 30.0) for k in range(1, 22) if k != 20][:20], 120: [(k, 1.0) for k in range(1, 21)], 140: [(105, 8.0)]}
     assert m.search(t.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     few = t.where("vec_id <= 3 OR vec_id = 20")
     assert m.search(few, F.col("vec_id") % 20 == 0).count() == 3, "all candidates, if fewer"

@@ -1 +1 @@
-"""tallyforge: double-entry ledger analytics and validation on PySpark."""
+"""tallyforge: double-entry accounting analytics and validation on PySpark."""

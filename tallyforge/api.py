@@ -1,15 +1,15 @@
-"""The ledger's read interface: each method gives a DataFrame over the tables it was made with."""
+"""The interface of the books: reading gives DataFrames over the tables it was made with, writing judges requests against them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import audit, balances, holder, reconcile, series, validation
+from tallyforge.operators import audit, balances, bookings, holder, pending, reconcile, reservations, reversals, series, validation
 
 
 class Reader:
-    """Queries over ledger tables. ``tables`` has one attribute for each table (see ``tallyforge.schemas``); ``now`` stands for the present."""
+    """Queries over accounting tables. ``tables`` has one attribute for each table (see ``tallyforge.schemas``); ``now`` stands for the present."""
 
     def __init__(self, tables: object, now: Column) -> None:
         self.t, self.now = tables, now
@@ -44,7 +44,7 @@ class Reader:
         return balances.rollups(self.balances())
 
     def trend(self, accounts: DataFrame, first: Column, last: Column) -> DataFrame:
-        return series.trend(accounts, series.sparse_snapshots(self.t.entries, self.t.classifications), series.daily_flows(self.t.entries), first, last)
+        return series.trend(accounts, series.sparse_snapshots(self.t.entries, self.t.classifications), series.daily_flows(self.t.entries), first, last, self.balances(), self.now)
 
     def transactions(self, holder_id: int, before_id: int = 0, size: int = 20) -> DataFrame:
         t = self.t
@@ -76,3 +76,54 @@ class Reader:
 
     def effective_policies(self, accounts: DataFrame) -> DataFrame:
         return validation.effective_policies(accounts, self.t.account_policies)
+
+    def lookup(self, table: str, **keys: object) -> DataFrame:
+        """The rows of a table by id, uid or key."""
+        return audit.lookup(getattr(self.t, table), **keys)
+
+    def listed(self, table: str, active_only: bool = False) -> DataFrame:
+        """A dimension's rows in order."""
+        return audit.listed(getattr(self.t, table), active_only)
+
+
+class Writer(Reader):
+    """Requests in, outcomes out. Nothing is changed: what is accepted is for the caller to append, in one batch."""
+
+    def post(self, journals: DataFrame, entries: DataFrame) -> DataFrame:
+        """Candidate journals with their entries: accepted, replayed or rejected with the reason."""
+        t = self.t
+        posted = validation.fingerprint(t.journals, t.entries)
+        return validation.post(journals, entries, t.classifications, t.currencies, t.account_policies, t.period_closes, self.balances(), posted, self.now)
+
+    def render(self, requests: DataFrame) -> DataFrame:
+        """Entries of template requests."""
+        return validation.rendered(requests, audit.listed(self.t.templates, active_only=True), self.t.classifications)
+
+    def reverse(self, requests: DataFrame) -> DataFrame:
+        """Mirror entries of whole journals."""
+        return reversals.full(requests, self.t.journals, self.t.entries)
+
+    def reserve(self, requests: DataFrame) -> DataFrame:
+        """Reservations admitted in order while the available balance lasts."""
+        return reservations.admitted(requests, self.breakdown().select("account_holder", "currency_id", "available"))
+
+    def settle(self, actions: DataFrame) -> DataFrame:
+        """Settlements, legs, closes and releases in order."""
+        return reservations.settled(actions, self.t.reservations)
+
+    def transition(self, requests: DataFrame) -> DataFrame:
+        """Changes of bookings in order."""
+        return bookings.transitioned(requests, self.t.bookings, self.t.lifecycles)
+
+    def move_pending(self, requests: DataFrame, pending_class: int) -> DataFrame:
+        """Two-phase amounts added, confirmed, cancelled or let expire in order."""
+        return pending.applied(requests, pending.opening_of(self.balances(), pending_class))
+
+    def set_policies(self, policies: DataFrame) -> DataFrame:
+        return validation.policy_inputs(policies)
+
+    def close_periods(self, closes: DataFrame) -> DataFrame:
+        return validation.period_inputs(closes)
+
+    def book(self, rows: DataFrame) -> DataFrame:
+        return validation.booking_inputs(rows)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the rows of a page where no size is asked for.
+DEFAULT_PAGE = 50
+
 
 def filtered(rows: DataFrame, **equal: object) -> DataFrame:
     """Rows with the given column values; a value that is None, 0 or '' sets no condition."""
@@ -14,6 +17,24 @@ def filtered(rows: DataFrame, **equal: object) -> DataFrame:
     return rows
 
 
+def lookup(rows: DataFrame, **keys: object) -> DataFrame:
+    """The rows with all the given keys (id, uid, idempotency key); a null key finds nothing."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows
+
+
+def listed(rows: DataFrame, active_only: bool = False) -> DataFrame:
+    """All rows of a dimension in order of id (of code, where there is none), or the active ones."""
+    return (rows.where("is_active") if active_only else rows).orderBy("id" if "id" in rows.columns else "code")
+
+
+def clamped(size: int, default: int = DEFAULT_PAGE, most: int | None = None) -> int:
+    """A page size: the default where none or a negative one is asked for, and no more than ``most``."""
+    size = size if size > 0 else default
+    return size if most is None else min(size, most)
+
+
 def between(rows: DataFrame, column: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Rows in a time range, both ends inclusive; None is open."""
     if since is not None:
@@ -22,10 +43,10 @@ def between(rows: DataFrame, column: str, since: Column | None = None, until: Co
 
 
 def page(rows: DataFrame, size: int = 50, after: int = 0, column: str = "id", newest_first: bool = False) -> DataFrame:
-    """A keyset page: ids after ``after`` rising, or ids before it falling (0: from the start)."""
+    """A keyset page: ids after ``after`` rising, or ids before it falling (0: from the start); a size of 0 or less is the default."""
     if after:
         rows = rows.where(F.col(column) < after if newest_first else F.col(column) > after)
-    return rows.orderBy(F.desc(column) if newest_first else F.col(column)).limit(size)
+    return rows.orderBy(F.desc(column) if newest_first else F.col(column)).limit(clamped(size))
 
 
 def journals_by_account(journals: DataFrame, entries: DataFrame, holder: int, currency_id: int, since: Column | None = None, until: Column | None = None) -> DataFrame:

@@ -30,23 +30,31 @@ def transitioned(requests: DataFrame, bookings: DataFrame, lifecycles: DataFrame
 
     The current status again is accepted and emits nothing; an edge of the
     lifecycle emits an event; a non-zero amount replaces the settled amount.
+    Metadata of a request that moves the booking is merged into the booking's, the
+    request's value winning; it takes part where both tables have a map column
+    ``metadata``.
     """
-    heads = bookings.select(F.col("id").alias("booking_id"), "classification_id", F.col("status").alias("_status"), F.col("settled_amount").alias("_settled"))
+    tagged = "metadata" in requests.columns and "metadata" in bookings.columns
+    heads = bookings.select(F.col("id").alias("booking_id"), "classification_id", F.col("status").alias("_status"), F.col("settled_amount").alias("_settled"), *([F.col("metadata").alias("_metadata")] if tagged else []))
     rows = requests.join(heads, "booking_id", "left").join(lifecycles.select("classification_id", "transitions"), "classification_id", "left")
 
     def step(state, row):
-        status, settled = state
+        status, settled, notes = state
+        kept = {"metadata_after": list(notes.items())} if tagged else {}
         graph = dict(row["transitions"] or [])
         if status is None:
-            return state, {"reject_reason": "not_found", "emits": False, "status_after": None, "settled_after": None}
+            return state, {"reject_reason": "not_found", "emits": False, "status_after": None, "settled_after": None} | kept
         if row["to_status"] == status:
-            return state, {"reject_reason": None, "emits": False, "status_after": status, "settled_after": settled}
+            return state, {"reject_reason": None, "emits": False, "status_after": status, "settled_after": settled} | kept
         if row["to_status"] not in (graph.get(status) or []):
-            return state, {"reject_reason": "invalid_transition", "emits": False, "status_after": status, "settled_after": settled}
+            return state, {"reject_reason": "invalid_transition", "emits": False, "status_after": status, "settled_after": settled} | kept
         settled = row["amount"] or settled
-        return (row["to_status"], settled), {"reject_reason": None, "emits": True, "status_after": row["to_status"], "settled_after": settled}
+        if tagged:
+            notes = notes | dict(row["metadata"] or [])
+            kept = {"metadata_after": list(notes.items())}
+        return (row["to_status"], settled, notes), {"reject_reason": None, "emits": True, "status_after": row["to_status"], "settled_after": settled} | kept
 
-    return fold(rows, ["booking_id"], ["seq"], lambda row: (row["_status"], row["_settled"] or Decimal(0)), step, StructType.fromDDL(f"reject_reason string, emits boolean, status_after string, settled_after {AMOUNT}")).drop("_status", "_settled", "transitions")
+    return fold(rows, ["booking_id"], ["seq"], lambda row: (row["_status"], row["_settled"] or Decimal(0), dict(row["_metadata"] or []) if tagged else {}), step, StructType.fromDDL(f"reject_reason string, emits boolean, status_after string, settled_after {AMOUNT}" + (", metadata_after map<string,string>" if tagged else ""))).drop("_status", "_settled", "_metadata", "transitions")
 
 
 def expired(bookings: DataFrame, lifecycles: DataFrame, now: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import signed, total, zero
+from tallyforge.operators import audit
 from tallyforge.operators.balances import with_class
 from tallyforge.schemas import AMOUNT
 
@@ -27,8 +28,8 @@ def transactions(entries: DataFrame, journals: DataFrame, journal_types: DataFra
 
 
 def transaction_page(entries: DataFrame, journals: DataFrame, journal_types: DataFrame, classifications: DataFrame, currencies: DataFrame, holder: int, before_id: int = 0, size: int = 20) -> DataFrame:
-    """A page of a holder's transactions, newest first. Journals make the page, so one that nets to zero takes a place but gives no row."""
-    size = max(1, min(size, 100))
+    """A page of a holder's transactions, newest first. Journals make the page, so one that nets to zero takes a place but gives no row. A page has 20 rows where no size is asked for, and at most 100."""
+    size = audit.clamped(size, 20, 100)
     mine = entries.where(F.col("account_holder") == holder)
     page = with_class(mine, classifications, "balance_role").where("balance_role <> ''").select("journal_id").distinct()
     if before_id:

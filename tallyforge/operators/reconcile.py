@@ -28,8 +28,10 @@ def unequal_currencies(entries: DataFrame) -> DataFrame:
     return totals_by_currency(entries).where("total_debit <> total_credit")
 
 
-def checkpoint_drift(entries: DataFrame, classifications: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """Check 2: checkpoints that differ from the entries up to their watermark."""
+def checkpoint_drift(entries: DataFrame, classifications: DataFrame, checkpoints: DataFrame, newest: int | None = None) -> DataFrame:
+    """Check 2: checkpoints that differ from the entries up to their watermark. ``newest`` is an id that no watermark is beyond, where it is known; later entries aren't read then."""
+    if newest is not None:
+        entries = entries.where(F.col("id") <= newest)
     cp = checkpoints.select(*ACCOUNT, "balance", "last_entry_id")
     rows = with_class(entries, classifications).select(*ACCOUNT, "id", signed().alias("_signed"))
     met = cp.join(rows, ACCOUNT, "left")
@@ -79,6 +81,12 @@ def duplicate_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy("idempotency_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def checkpoint_age(checkpoints: DataFrame, now: Column) -> DataFrame:
+    """Seconds since the checkpoint that was updated longest ago; 0 where there are none."""
+    seconds = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.min("updated_at").cast("timestamp"))
+    return checkpoints.agg(F.coalesce(seconds, F.lit(0)).cast("long").alias("checkpoint_age_s"))
+
+
 def stale_rollups(queue: DataFrame, now: Column) -> DataFrame:
     """Check 10: claimed rows that weren't processed in time."""
     return queue.where("processed_at IS NULL AND claimed_until IS NOT NULL").where(F.col("claimed_until") < now - F.expr(STALE_AFTER))

@@ -33,8 +33,12 @@ def spine(rows: DataFrame, first: Column, last: Column, name: str = "day") -> Da
     return rows.withColumn(name, F.explode(F.sequence(first.cast("date"), last.cast("date"), F.expr("INTERVAL '1' DAY"))))
 
 
-def trend(accounts: DataFrame, snapshots: DataFrame, flows: DataFrame, first: Column, last: Column) -> DataFrame:
-    """A row for each account and day: the last snapshot in the range carried forward (0 before it) and the day's flows."""
+def trend(accounts: DataFrame, snapshots: DataFrame, flows: DataFrame, first: Column, last: Column, live: DataFrame | None = None, today: Column | None = None) -> DataFrame:
+    """A row for each account and day: the last snapshot in the range carried forward (0 before it) and the day's flows.
+
+    Where ``live`` balances are given and the range holds ``today``, that day has the
+    account's live balance (0 if it has none).
+    """
     days = spine(accounts.select(*ACCOUNT).distinct(), first, last)
     between = lambda c: F.col(c).between(first.cast("date"), last.cast("date"))
     snap = snapshots.where(between("snapshot_date")).select(*ACCOUNT, F.col("snapshot_date").alias("day"), F.col("balance").alias("_snap"))
@@ -42,6 +46,9 @@ def trend(accounts: DataFrame, snapshots: DataFrame, flows: DataFrame, first: Co
     met = days.join(snap, [*ACCOUNT, "day"], "left").join(flow, [*ACCOUNT, "day"], "left")
     run = Window.partitionBy(*ACCOUNT).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = F.last("_snap", ignorenulls=True).over(run)
+    if live is not None:
+        met = met.join(live.select(*ACCOUNT, F.col("balance").alias("_live")), ACCOUNT, "left")
+        held = F.when(F.col("day") == today.cast("date"), F.coalesce("_live", zero())).otherwise(held)
     return met.select(*ACCOUNT, "day", F.coalesce(held, zero()).cast(AMOUNT).alias("balance"), *(F.coalesce(c, zero()).cast(AMOUNT).alias(c) for c in ("inflow", "outflow")))
 
 

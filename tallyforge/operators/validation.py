@@ -1,8 +1,8 @@
 """Candidate journals in, accepted and rejected out.
 
 Every rule adds to an ordered list of reasons; a row's ``reject_reason`` is the
-first that holds, null if it is accepted. Reasons are the kinds of error of the
-ledger: invalid_input, unbalanced_journal, precision_exceeded, period_closed,
+first that holds, null if it is accepted. Reasons are the kinds of error of
+posting: invalid_input, unbalanced_journal, precision_exceeded, period_closed,
 account_closed, account_frozen, insufficient_balance, duplicate_journal,
 conflict, not_found, invalid_transition.
 """
@@ -97,32 +97,45 @@ def policy_violations(entries: DataFrame, classifications: DataFrame, policies:
 
 
 def fingerprint(journals: DataFrame, entries: DataFrame) -> DataFrame:
-    """A hash of what must agree for two journals to be one request: head, totals and the multiset of entries."""
+    """A hash of what must agree for two journals to be one request: head, totals, metadata and the multiset of entries.
+
+    Metadata is the map column ``metadata`` where there is one (the order of its
+    entries doesn't matter), and the memo.
+    """
     leg = F.concat_ws("|", F.col("account_holder").cast("string"), F.col("currency_id").cast("string"), F.col("classification_id").cast("string"), "entry_type", F.col("amount").cast("string"))
     # The multiset as a count, a sum and an xor of leg hashes: order doesn't matter and nothing is collected.
     legs = entries.groupBy("journal_id").agg(F.count("*").alias("_n"), F.sum(F.xxhash64(leg).cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64(leg, F.lit(7))).alias("_xor"))
     head = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("journal_type_id", "actor_id", "source", "event_id", "reversal_of", "total_debit", "total_credit", "_n", "_sum", "_xor")]
+    head += [F.coalesce(F.col("memo"), F.lit(""))] if "memo" in journals.columns else []
+    head += [F.coalesce(F.to_json(F.array_sort(F.map_entries("metadata"))), F.lit(""))] if "metadata" in journals.columns else []
     return journals.join(legs.withColumnRenamed("journal_id", "id"), "id", "left").withColumn("fingerprint", F.sha2(F.concat_ws("|", *head), 256))
 
 
 def idempotency(candidates: DataFrame, posted: DataFrame) -> DataFrame:
     """Each candidate as new, replay or conflict against what was posted and the candidates before it.
 
-    Both have (id, idempotency_key, fingerprint).
+    Both have (id, idempotency_key, fingerprint), and may have effective_at: a
+    candidate that sets it (not null) must agree with what stands; one that leaves
+    it open takes the time of posting and agrees with any.
     """
-    old = posted.select("idempotency_key", F.col("fingerprint").alias("_old"))
-    first = F.first("fingerprint").over(Window.partitionBy("idempotency_key").orderBy("id"))
+    timed = "effective_at" in candidates.columns and "effective_at" in posted.columns
+    at = (lambda d: F.col("effective_at") if timed else F.lit(None).cast("timestamp_ntz"))
+    candidates, posted = candidates.withColumn("_at", at(candidates)), posted.withColumn("_at", at(posted))
+    old = posted.select("idempotency_key", F.col("fingerprint").alias("_old"), F.col("_at").alias("_old_at"))
+    first, first_at = (F.first(c).over(Window.partitionBy("idempotency_key").orderBy("id")) for c in ("fingerprint", "_at"))
     number = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("id"))
-    met = candidates.select("id", "idempotency_key", "fingerprint", first.alias("_first"), number.alias("_number")).join(old, "idempotency_key", "left")
+    met = candidates.select("id", "idempotency_key", "fingerprint", "_at", first.alias("_first"), first_at.alias("_first_at"), number.alias("_number")).join(old, "idempotency_key", "left")
     against = F.coalesce("_old", F.when(F.col("_number") > 1, F.col("_first")))
-    return met.select("id", "idempotency_key", F.when(against.isNull(), "new").when(against == F.col("fingerprint"), "replay").otherwise("conflict").alias("outcome"))
+    stands = F.when(F.col("_old").isNotNull(), F.col("_old_at")).otherwise(F.col("_first_at"))
+    agrees = (against == F.col("fingerprint")) & (F.col("_at").isNull() | stands.isNull() | (F.col("_at") == stands))
+    return met.select("id", "idempotency_key", F.when(against.isNull(), "new").when(agrees, "replay").otherwise("conflict").alias("outcome"))
 
 
 def post(journals: DataFrame, entries: DataFrame, classifications: DataFrame, currencies: DataFrame, policies: DataFrame, period_closes: DataFrame, balances: DataFrame, posted: DataFrame, now: Column) -> DataFrame:
     """Every candidate journal with its outcome: (journal_id, outcome, reject_reason). ``posted`` has fingerprints."""
+    seen = idempotency(fingerprint(journals, entries), posted).select(F.col("id").alias("journal_id"), "outcome")
     reasons = [
         journal_structure(journals, entries, now).where("reject_reason IS NOT NULL").select("journal_id", F.lit(1).alias("n"), "reject_reason"),
-        idempotency(fingerprint(journals, entries), posted).where("outcome = 'conflict'").select(F.col("id").alias("journal_id"), F.lit(2).alias("n"), F.lit("conflict").alias("reject_reason")),
         entries.join(classifications.where("is_active").select(F.col("id").alias("classification_id")), "classification_id", "left_anti").select("journal_id", F.lit(3).alias("n"), F.lit("not_found").alias("reject_reason")),
         imprecise(entries, currencies).select("journal_id", F.lit(4).alias("n"), F.lit("precision_exceeded").alias("reject_reason")),
         in_closed_period(journals, period_closes).select(F.col("id").alias("journal_id"), F.lit(5).alias("n"), F.lit("period_closed").alias("reject_reason")),
@@ -131,9 +144,11 @@ def post(journals: DataFrame, entries: DataFrame, classifications: DataFrame, cu
     every = reasons[0]
     for more in reasons[1:]:
         every = every.unionByName(more)
-    worst = every.groupBy("journal_id").agg(F.min_by("reject_reason", "n").alias("reject_reason"))
-    seen = idempotency(fingerprint(journals, entries), posted).select(F.col("id").alias("journal_id"), "outcome")
+    worst = every.groupBy("journal_id").agg(F.min(F.struct("n", "reject_reason")).alias("worst"))
+    # A conflict comes second, after what is wrong with the journal itself. Its fingerprints are made once.
     met = journals.select(F.col("id").alias("journal_id")).join(worst, "journal_id", "left").join(seen, "journal_id", "left")
+    conflict = (F.col("outcome") == "conflict") & (F.coalesce("worst.n", F.lit(9)) > 2)
+    met = met.withColumn("reject_reason", F.when(conflict, "conflict").otherwise(F.col("worst.reject_reason")))
     return met.select("journal_id", F.when(F.col("reject_reason").isNotNull(), "rejected").when(F.col("outcome") == "replay", "replayed").otherwise("accepted").alias("outcome"), "reject_reason")
 
 

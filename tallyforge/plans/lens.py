@@ -1,4 +1,4 @@
-"""The driver's star schema seen as a ledger.
+"""The driver's star schema seen as books of account.
 
 Orders are journals with a user leg and a system leg, nations are currencies,
 purchases are reservations, order states are bookings. The same projection is
@@ -29,8 +29,8 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-class Ledger:
-    """The ledger tables over one folder of driver tables. Each is a lazy DataFrame."""
+class Books:
+    """The accounting tables over one folder of driver tables. Each is a lazy DataFrame."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder

@@ -1,14 +1,36 @@
-"""The ledger lens as DuckDB views, and helpers to write oracle queries over them."""
+"""The books as DuckDB views, and helpers to write oracle queries over them."""
 
 from __future__ import annotations
 
 import re
 
 from tallyforge.plans.lens import NOW
-from tallyforge.plans.presets import CLASSIFICATIONS, JOURNAL_TYPES, LIFECYCLES, TEMPLATES
+from tallyforge.plans.presets import CLASSIFICATIONS, LIFECYCLES, TEMPLATES
 
 A = "DECIMAL(30,18)"
 
+# Journal types with their display labels, written down apart from the presets that they check.
+JOURNAL_TYPES = [
+    ("deposit_confirm", "Deposit Confirm", "Deposit"),
+    ("deposit_pending", "Deposit Pending", "Deposit"),
+    ("fx_sell", "FX Sell Leg", "Exchange"),
+    ("fx_buy", "FX Buy Leg", "Exchange"),
+    ("deposit_confirm_pending", "Deposit Confirm Pending", "Deposit"),
+    ("deposit_release_pending", "Deposit Release Pending", "Deposit released"),
+    ("deposit_record_overage", "Deposit Record Overage", "Deposit adjustment"),
+    ("deposit_resolve_overage", "Deposit Resolve Overage", "Deposit adjustment"),
+    ("deposit_release_overage", "Deposit Release Overage", "Deposit adjustment"),
+    ("lock_funds", "Lock Funds", "Withdrawal"),
+    ("unlock_funds", "Unlock Funds", "Withdrawal canceled"),
+    ("withdraw_confirm", "Withdraw Confirm", "Withdrawal"),
+    ("withdraw_fee", "Withdraw Fee", "Fee"),
+    ("fee", "Fee Charge", "Fee"),
+    ("transfer", "User-to-user Transfer", "Transfer"),
+    ("capital_injection", "Capital Injection", ""),
+    ("capital_withdraw", "Capital Withdrawal", ""),
+    ("checkout_settlement", "Checkout Settlement", "Payment"),
+]
+
 
 def _values(rows: list[tuple], columns: str) -> str:
     def one(v: object) -> str:

@@ -29,18 +29,18 @@ CLASSIFICATIONS = [
 # code, name, display label
 JOURNAL_TYPES = [
     ("deposit_confirm", "Deposit Confirm", "Deposit"),
-    ("deposit_pending", "Deposit Pending", ""),
+    ("deposit_pending", "Deposit Pending", "Deposit"),
     ("fx_sell", "FX Sell Leg", "Exchange"),
     ("fx_buy", "FX Buy Leg", "Exchange"),
-    ("deposit_confirm_pending", "Deposit Confirm Pending", ""),
-    ("deposit_release_pending", "Deposit Release Pending", ""),
-    ("deposit_record_overage", "Deposit Record Overage", ""),
-    ("deposit_resolve_overage", "Deposit Resolve Overage", ""),
-    ("deposit_release_overage", "Deposit Release Overage", ""),
-    ("lock_funds", "Lock Funds", ""),
-    ("unlock_funds", "Unlock Funds", ""),
-    ("withdraw_confirm", "Withdraw Confirm", ""),
-    ("withdraw_fee", "Withdraw Fee", ""),
+    ("deposit_confirm_pending", "Deposit Confirm Pending", "Deposit"),
+    ("deposit_release_pending", "Deposit Release Pending", "Deposit released"),
+    ("deposit_record_overage", "Deposit Record Overage", "Deposit adjustment"),
+    ("deposit_resolve_overage", "Deposit Resolve Overage", "Deposit adjustment"),
+    ("deposit_release_overage", "Deposit Release Overage", "Deposit adjustment"),
+    ("lock_funds", "Lock Funds", "Withdrawal"),
+    ("unlock_funds", "Unlock Funds", "Withdrawal canceled"),
+    ("withdraw_confirm", "Withdraw Confirm", "Withdrawal"),
+    ("withdraw_fee", "Withdraw Fee", "Fee"),
     ("fee", "Fee Charge", "Fee"),
     ("transfer", "User-to-user Transfer", "Transfer"),
     ("capital_injection", "Capital Injection", ""),
@@ -79,7 +79,7 @@ LIFECYCLES = {
 
 
 def literal(spark: SparkSession, rows: list[tuple], table: str) -> DataFrame:
-    """Rows of a ledger table. It reaches the optimizer with its size, unlike rows that come by way of an RDD."""
+    """Rows of an accounting table. It reaches the optimizer with its size, unlike rows that come by way of an RDD."""
     want = schema(table)
     columns = zip(*rows, strict=True) if rows else [[] for _ in want]
     found = to_arrow_schema(want, prefers_large_types=False)

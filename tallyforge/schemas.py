@@ -1,4 +1,4 @@
-"""Schemas of the ledger tables. Amounts are decimal(30,18), times are UTC without zone."""
+"""Schemas of the accounting tables. Amounts are decimal(30,18), times are UTC without zone."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ _DDL = {
 
 
 def schema(name: str) -> StructType:
-    """The StructType of a ledger table."""
+    """The StructType of an accounting table."""
     return StructType.fromDDL(_DDL[name])
 
 

@@ -1,4 +1,4 @@
-"""Reading ledger tables from files, appending to them by month, and keeping keyed tables in versions.
+"""Reading accounting tables from files, appending to them by month, and keeping keyed tables in versions.
 
 Paths go through Spark's own file systems, so a table can be wherever Spark can read.
 """
@@ -16,14 +16,14 @@ from tallyforge.schemas import schema
 
 
 def read_table(spark: SparkSession, path: str, table: str, kind: str = "parquet", **options: str) -> DataFrame:
-    """A ledger table from Parquet, CSV, JSON or ORC, with its declared schema (never inferred)."""
+    """An accounting table from Parquet, CSV, JSON or ORC, with its declared schema (never inferred)."""
     return spark.read.format(kind).schema(schema(table)).options(**options).load(path)
 
 
-def append_entries(entries: DataFrame, path: str) -> None:
-    """Appends entries under the month in which they take effect. One task writes each month's rows of a batch."""
-    by_month = entries.withColumn("month", F.date_format("effective_at", "yyyy-MM"))
-    by_month.repartition("month", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("append").partitionBy("month").parquet(path)
+def append_entries(entries: DataFrame, path: str, tasks: int = 8) -> None:
+    """Appends entries under the month in which they were written, so a backdated entry lands in the open month. ``tasks`` is how many write one month's rows of a batch."""
+    by_month = entries.withColumn("month", F.date_format("created_at", "yyyy-MM"))
+    by_month.repartition("month", F.pmod(F.xxhash64("id"), F.lit(tasks))).write.mode("append").partitionBy("month").parquet(path)
 
 
 def read_entries(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -37,11 +37,38 @@ def read_entries(spark: SparkSession, path: str, since: str | None = None, until
 
 
 def compact_month(spark: SparkSession, path: str, month: str, files: int = 8) -> None:
-    """Rewrites one month in ``files`` files: through a folder beside the table, then over the month alone."""
-    side = f"{path.rstrip('/')}__compact_{month}"
-    spark.read.parquet(f"{path}/month={month}").repartition(files, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(side)
-    spark.read.parquet(side).write.mode("overwrite").parquet(f"{path}/month={month}")
-    _fs(spark, side)[0].delete(_fs(spark, side)[1], True)
+    """Rewrites one month in ``files`` files.
+
+    The rewritten month is finished in a folder beside the table, the old one is
+    moved aside, and only then does the new one take its place; two renames, no
+    copy. A job that is lost in between leaves one of them whole: ``restore_month``
+    puts it back.
+    """
+    restore_month(spark, path, month)
+    live, new, old = _month_folders(path, month)
+    fs, at = _fs(spark, new)
+    spark.read.parquet(live).repartition(files, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(new)
+    fs.rename(_fs(spark, live)[1], _fs(spark, old)[1])
+    fs.rename(at, _fs(spark, live)[1])
+    fs.delete(_fs(spark, old)[1], True)
+
+
+def restore_month(spark: SparkSession, path: str, month: str) -> None:
+    """Ends a compaction that was lost: with its month gone the one moved aside comes back, and what it left is removed."""
+    live, new, old = _month_folders(path, month)
+    fs, moved = _fs(spark, old)
+    if fs.exists(moved):
+        if fs.exists(_fs(spark, live)[1]):
+            fs.delete(moved, True)
+        else:
+            fs.rename(moved, _fs(spark, live)[1])
+    fs.delete(_fs(spark, new)[1], True)
+
+
+def _month_folders(path: str, month: str) -> tuple[str, str, str]:
+    """The month, its rewritten form and its old form; the latter two are beside the table, where no reader looks."""
+    side = path.rstrip("/")
+    return f"{side}/month={month}", f"{side}__new_{month}", f"{side}__old_{month}"
 
 
 def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:

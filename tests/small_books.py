@@ -1,4 +1,4 @@
-"""Small ledgers for tests."""
+"""Small books for tests."""
 
 import datetime as dt
 from decimal import Decimal as D

@@ -4,7 +4,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from ledger import CLASS, DAY, currencies, dims, entries, journals, reservations, rows
+from small_books import CLASS, DAY, currencies, dims, entries, journals, reservations, rows
 from pyspark.sql import functions as F
 
 from tallyforge.operators import audit, balances, bookings, delivery, deposits, holder, pending, reconcile, reversals, series, validation
@@ -44,7 +44,7 @@ def test_breakdown(spark, d):
     assert rows(balances.breakdown(balances.direct(e, d.classifications), d.classifications, held), "available", "pending", "locked", "total") == [(45, 40, 50, 135)]
 
 
-def _holder_ledger(spark):
+def _holder_books(spark):
     e = entries(spark, [
         (1, 1, 1, "main_wallet", "debit", 100), (1, -1, 1, "custodial", "credit", 100), (2, 1, 1, "main_wallet", "credit", 5), (2, 1, 1, "fee_expense", "debit", 5), (3, 1, 1, "main_wallet", "credit", 30), (3, 1, 1, "locked", "debit", 30),
         (4, 1, 1, "main_wallet", "credit", 20), (4, -1, 1, "settlement", "debit", 20), (4, 1, 2, "main_wallet", "debit", 18), (4, -1, 2, "settlement", "credit", 18), (5, 1, 1, "main_wallet", "credit", 100), (5, -1, 1, "custodial", "debit", 100),
@@ -53,15 +53,15 @@ def _holder_ledger(spark):
 
 
 def test_holder_transactions(spark, d):
-    e, j = _holder_ledger(spark)
+    e, j = _holder_books(spark)
     page = holder.transaction_page(e, j, d.journal_types, d.classifications, d.currencies, 1).collect()
     assert [(r.journal_id, r.currency_code, r.direction, r.amount, r.kind_label, r.reversal_of_uid) for r in page] == [
-        (5, "USD", "out", 100, "Deposit", "jrn-1"), (4, "EUR", "in", 18, "Exchange", ""), (4, "USD", "out", 20, "Exchange", ""), (2, "USD", "out", 5, "Withdraw Fee", ""), (1, "USD", "in", 100, "Deposit", ""),
+        (5, "USD", "out", 100, "Deposit", "jrn-1"), (4, "EUR", "in", 18, "Exchange", ""), (4, "USD", "out", 20, "Exchange", ""), (2, "USD", "out", 5, "Fee", ""), (1, "USD", "in", 100, "Deposit", ""),
     ]
 
 
 def test_zero_net_journal_takes_a_place_on_the_page(spark, d):
-    e, j = _holder_ledger(spark)
+    e, j = _holder_books(spark)
     page = holder.transaction_page(e, j, d.journal_types, d.classifications, d.currencies, 1, before_id=4, size=2)
     assert [r.journal_id for r in page.collect()] == [2]
 
@@ -100,7 +100,7 @@ def test_reversal_chain_from_either_end(spark):
 
 
 def test_full_reversal_reasons(spark):
-    e, j = _holder_ledger(spark)
+    e, j = _holder_books(spark)
     asked = spark.createDataFrame([(1,), (2,), (5,), (9,)], "journal_id long")
     got = reversals.full(asked, j, e)
     assert {(r.journal_id, r.reject_reason) for r in got.collect()} == {(1, "already_reversed"), (2, None), (5, "is_reversal"), (9, "not_found")}
@@ -148,7 +148,7 @@ def test_sparse_snapshots(spark, d):
 
 
 def test_reconciliation_clean_and_broken(spark, d):
-    e, j = _holder_ledger(spark)
+    e, j = _holder_books(spark)
     none = presets.literal(spark, [], "rollup_queue")
     cp = balances.checkpoints_of(e, d.classifications, 6)
     run = lambda e=e, j=j, cp=cp, r=None, q=none: {x.check_name: x.n_findings for x in reconcile.report(e, j, d.classifications, cp, balances.direct(e, d.classifications), r or reservations(spark, []), q, day(1)).collect() if not x.passed}

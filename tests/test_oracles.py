@@ -1,4 +1,4 @@
-"""Every ledger query against its oracle on the smallest tables; those without one must run."""
+"""Every accounting query against its oracle on the smallest tables; those without one must run."""
 
 import pytest
 from oracles import same_rows

@@ -38,8 +38,8 @@ from tallyforge.llm.common import checkpointed, tidy
 SAMPLE = 20_000
 SHARE = 0.6
 FIRST = 8
-#: Entries of a chunk.
-ENTRIES = 8192
+#: Entries of a chunk, and queries that one task walks for.
+ENTRIES, WALKED = 8192, 256
 
 
 def centroids(n: int) -> int:
@@ -98,26 +98,37 @@ class Index:
         for c in cells:
             self.rows[c.cu, c.cv], self.distinct[c.cu, c.cv] = c.n, c.distinct
             self.radius[:, c.cu, c.cv] = c.ru, c.rv
-        self.want, self.k = share * self.distinct.sum(), k
+        self.want, self.k = float(share * self.distinct.sum()), k
+        self.queries = sum(c.nq for c in cells)
+        #: Rows, distinct vectors and radii as lists: the walk takes one cell at a time.
+        self.listed = [x.tolist() for x in (self.rows, self.distinct, *self.radius)]
         held = self.rows.sum(axis=1)
         self.n_groups = max(1, min(self.shape[0], -(-int(held.sum()) // ENTRIES)))
         self.chunks = [max(1, -(-int(held[g :: self.n_groups].sum()) // ENTRIES)) for g in range(self.n_groups)]
 
     def plan(self, q: np.ndarray, least: float | None = None) -> list[tuple[int, int]]:
         """The cells to rank for a query: the first ones, or those after them whose bound reaches ``least``."""
-        one, two = self.one @ q[: self.cut], self.two @ q[self.cut :]
-        norms = np.linalg.norm(q[: self.cut]), np.linalg.norm(q[self.cut :])
+        first, second = self.one @ q[: self.cut], self.two @ q[self.cut :]
+        a, b = float(np.linalg.norm(q[: self.cut])), float(np.linalg.norm(q[self.cut :]))
+        one, two = first.tolist(), second.tolist()
+        rows, distinct, ru, rv = self.listed
+        early_rows, begun = FIRST * self.k, least is not None
         out = []
         held = met = 0
-        for u, v in walk(-one, -two):
-            if not self.rows[u, v]:
+        for u, v in walk(-first, -second):
+            n = rows[u][v]
+            if not n:
                 continue
-            early = bool(met < FIRST * self.k)
-            if early is (least is None) and (early or one[u] + two[v] + norms[0] * self.radius[0, u, v] + norms[1] * self.radius[1, u, v] >= least - 1e-9):
+            early = met < early_rows
+            if not begun:
+                if not early:
+                    break
                 out.append((u, v))
-            held += self.distinct[u, v]
-            met += self.rows[u, v]
-            if held >= self.want and met > self.k or least is None and not early:
+            elif not early and one[u] + two[v] + a * ru[u][v] + b * rv[u][v] >= least - 1e-9:
+                out.append((u, v))
+            held += distinct[u][v]
+            met += n
+            if held >= self.want and met > self.k:
                 break
         return out
 
@@ -216,7 +227,7 @@ def _search(rows: DataFrame, is_query: Column, k: int, share: float) -> DataFram
 
     placed = checkpointed(rows.mapInArrow(assign, "vec_id long, v array<double>, q boolean, cu int, cv int, ru double, rv double"))
     # Equal vectors count once, so that a common vector doesn't end the walk early.
-    index.fill(placed.groupBy("cu", "cv").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v"), 0.02).alias("distinct"), F.max("ru").alias("ru"), F.max("rv").alias("rv")).collect(), share, k)
+    index.fill(placed.groupBy("cu", "cv").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v"), 0.02).alias("distinct"), F.max("ru").alias("ru"), F.max("rv").alias("rv"), F.count_if("q").alias("nq")).collect(), share, k)
     filled = spark.sparkContext.broadcast(index)
 
     @tidy
@@ -244,11 +255,13 @@ def _search(rows: DataFrame, is_query: Column, k: int, share: float) -> DataFram
 
     n_chunks = F.element_at(F.array(*map(F.lit, index.chunks)), F.col("g") + 1)
     entries = placed.withColumn("g", F.col("cu") % index.n_groups).select("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), n_chunks).cast("int").alias("c"), F.lit(False).alias("asks"), "vec_id", "v", "cu", "cv", F.lit(None).cast("binary").alias("mask"))
+    # Walks take long for their few bytes, so queries are dealt by number.
+    spread = max(1, -(-index.queries // WALKED))
     asks = placed.where("q").dropDuplicates(["vec_id"]).select("vec_id", "v")
-    begun = checkpointed(_top(_ranked(entries, asks.withColumn("least", F.lit(None).cast("double")).mapInArrow(probe, _DEALT), index.shape, k), k).drop("rank"))
+    begun = checkpointed(_top(_ranked(entries, asks.withColumn("least", F.lit(None).cast("double")).repartition(spread).mapInArrow(probe, _DEALT), index.shape, k), k).drop("rank"))
     least = begun.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
     further = asks.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    more = _ranked(entries, further.mapInArrow(probe, _DEALT), index.shape, k)
+    more = _ranked(entries, further.repartition(spread).mapInArrow(probe, _DEALT), index.shape, k)
     return _top(begun.unionAll(more), k).select("query_id", "rank", "vec_id", "score")
 
 

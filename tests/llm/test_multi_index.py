@@ -21,7 +21,7 @@ def filled(x, share, k=20):
     size, cut = m.centroids(len(x)), x.shape[1] // 2
     index = m.Index(m.codebook(x[:, :cut], size), m.codebook(x[:, cut:], size))
     u, v, ru, rv = index.cells(x)
-    rows = [SimpleNamespace(cu=a, cv=b, n=int(some.sum()), distinct=int(some.sum()), ru=ru[some].max(), rv=rv[some].max()) for a, b in set(zip(u.tolist(), v.tolist(), strict=True)) for some in [(u == a) & (v == b)]]
+    rows = [SimpleNamespace(cu=a, cv=b, n=int(some.sum()), distinct=int(some.sum()), ru=ru[some].max(), rv=rv[some].max(), nq=0) for a, b in set(zip(u.tolist(), v.tolist(), strict=True)) for some in [(u == a) & (v == b)]]
     index.fill(rows, share, k)
     return index, u, v
 

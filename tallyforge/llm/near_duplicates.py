@@ -43,7 +43,7 @@ UNIVERSE = 1 << 20
 #: Links need 100 * intersection >= percent * union; PERCENT where none is asked for.
 PERCENT = 85
 #: Distinct shingles and documents of one group of a verification task; larger clusters are cut.
-CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 4_000
+CHUNK_WORDS, CHUNK_DOCS = 1_000_000, 500
 
 
 @lru_cache(2)

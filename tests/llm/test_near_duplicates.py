@@ -17,7 +17,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def plain(docs):
+def plain(docs, percent=85):
     sets = {d: shingles(t) for d, t in docs}
     root = {d: d for d in sets}
 
@@ -28,7 +28,7 @@ def plain(docs):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return sorted((d, len(sets[d]), find(d), find(d) == d) for d in sets)

@@ -26,7 +26,7 @@ def test_stages(spark):
             bad = {r.doc_id for r in toxicity.scored(spark.createDataFrame(list(before.values())), labels).where("predicted = 1").collect()}
             assert bad and set(after) == set(before) - bad
         elif name == "near_duplicates":
-            assert set(after) == {d for d, _, _, kept in groups([(d, r.text) for d, r in before.items()]) if kept}
+            assert set(after) == {d for d, _, _, kept in groups([(d, r.text) for d, r in before.items()], 80) if kept}
         elif name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert set(after) == {d for d, *_, hit in hits([(d, r.text) for d, r in before.items()], items) if not hit}

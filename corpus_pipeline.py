@@ -15,27 +15,27 @@ from tallyforge.llm.common import own_folder
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Null and empty texts stay unless such examples are toxic; rows with equal texts share their fate."""
     return toxicity.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    return near_duplicates.unique(docs)
+    """One document of each group of near copies (80 % of five-word shingles) stays, that with the smallest doc_id. Documents without words or id stay; rows that repeat a kept doc_id stay."""
+    return near_duplicates.unique(docs, 80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; those without words stay."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; every document stays."""
+    """Personal data is replaced by its kind; every row stays, null texts as they are."""
     return pii.redacted(docs)
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of every document that is left."""
+    """Token count and digests of every row that is left; null texts count as empty. Empty tables pass through all stages."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

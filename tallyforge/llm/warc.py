@@ -6,7 +6,8 @@ can be cut; a file of a failed task is in no manifest. Members carry the skip
 length field, so a reader passes a record without inflating it.
 
 Reading: the manifest (or, without one, the folder's ``.warc`` and ``.warc.gz``
-files) is planned into partitions of about SPLIT_BYTES. Equality, membership and
+files) is planned into partitions of about SPLIT_BYTES; a file that no manifest
+cuts is one partition, read a window at a time. Equality, membership and
 prefix predicates on record type and header columns are pushed down. A record's
 first bytes are inflated and its headers parsed; only if they satisfy the
 predicates and the payload is wanted is the rest decoded.
@@ -15,7 +16,12 @@ Options: ``payload`` is ``true`` (decode, check against the digest and return
 it), ``verify`` (decode and check, return null) or ``false`` (don't decode).
 
 Defined results: null payloads are written as empty; a null URL has no target
-header and reads back as null; a damaged payload (digest differs) is an error.
+header and reads back as null; a damaged payload (digest differs) is an error. Of
+rows with one page_id and equal payloads each is a record, and all of them point
+to the largest page_id or are responses where it is their own; rows without
+page_id are responses under ids of their own; an empty table writes no archive
+and reads as no rows; very long payloads are held one at a time; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -44,6 +50,8 @@ SPLIT_BYTES = 16 << 20
 HEAD_BYTES = 4096
 #: Bytes handed to zlib at a time where a member doesn't say how long it is.
 PIECE_BYTES = 1 << 14
+#: Bytes of a file held at a time, beside the payload at hand.
+WINDOW_BYTES = 1 << 20
 MANIFEST = "_manifest.json"
 #: Revisit ids that are sent to all tasks; more of them are joined.
 SENT_ROWS = 1_000_000
@@ -119,6 +127,100 @@ def parse_head(head: bytes) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
+class Window:
+    """A file's bytes, a piece in memory at a time."""
+
+    def __init__(self, file: pa.NativeFile, end: int) -> None:
+        self.file, self.end, self.start, self.held = file, end, 0, b""
+
+    def get(self, at: int, n: int) -> memoryview:
+        """``n`` bytes from ``at`` on, fewer where the file's part ends."""
+        n = min(n, self.end - at)
+        if not self.start <= at <= at + n <= self.start + len(self.held):
+            self.start, self.held = at, self.file.read_at(min(max(n, WINDOW_BYTES), self.end - at), at)
+        return memoryview(self.held)[at - self.start : at - self.start + n]
+
+
+@dataclass
+class Found:
+    """A record whose headers are read: its fields (None if they don't end), HTTP head, and length after the WARC head; ``rest`` decodes the payload, ``end`` tells where the next record begins."""
+
+    fields: dict[str, str] | None
+    http: bytes
+    block: int
+    rest: Callable[[], bytes]
+    end: Callable[[], int]
+
+
+def _heads(more: Callable[[int], bytes]) -> tuple[dict[str, str] | None, int, bytes]:
+    """The fields of a record, their length and the HTTP head, from ``more(n)``: the record's first n bytes at least, or all."""
+    n = HEAD_BYTES
+    while (parsed := parse_head(head := more(n))) is None:
+        if len(head) < n:
+            return None, 0, b""
+        n = 2 * len(head)
+    fields, at = parsed
+    if not fields.get("content-type", "").startswith("application/http"):
+        return fields, at, b""
+    block = int(fields.get("content-length", "0"))
+    while True:
+        end = head.find(b"\r\n\r\n", at, at + block)
+        if end >= 0 or len(head) >= at + block or len(head) < n:
+            return fields, at, head[at : end + 4] if end >= 0 else b""
+        n = 2 * len(head)
+        head = more(n)
+
+
+def _plain(window: Window, at: int) -> Found:
+    fields, n_head, http = _heads(lambda n: bytes(window.get(at, n)))
+    block = int((fields or {}).get("content-length", "0"))
+    start = at + n_head + len(http)
+    return Found(fields, http, block, lambda: bytes(window.get(start, block - len(http))), lambda: at + n_head + block + 4)
+
+
+def _packed(window: Window, at: int) -> Found:
+    """A gzip member; where it says how long it is, what isn't wanted is passed over."""
+    body, length = _skip(window.get(at, WINDOW_BYTES), 0)
+    stop = at + length - 8 if length else window.end
+    inflate = zlib.decompressobj(-15)
+    fed, head = at + body, b""
+
+    def step(most: int) -> bytes:
+        nonlocal fed
+        piece = inflate.unconsumed_tail
+        if not piece:
+            piece = window.get(fed, min(PIECE_BYTES, stop - fed))
+            fed += len(piece)
+        return inflate.decompress(piece, most)
+
+    def ended() -> bool:
+        return inflate.eof or not inflate.unconsumed_tail and fed >= stop
+
+    def more(n: int) -> bytes:
+        nonlocal head
+        while len(head) < n and not ended():
+            head += step(n)
+        return head
+
+    fields, n_head, http = _heads(more)
+    block = int((fields or {}).get("content-length", "0"))
+
+    def rest() -> bytes:
+        parts = [head]
+        while not ended():
+            parts.append(step(0))
+        return b"".join(parts)[n_head + len(http) : n_head + block]
+
+    def end() -> int:
+        if length:
+            return at + length
+        while not ended():
+            step(WINDOW_BYTES)
+        return fed - len(inflate.unused_data) + 8
+
+    return Found(fields, http, block, rest, end)
+
+
 @dataclass
 class Part(InputPartition):
     """Bytes ``start`` to ``end`` of a file, cut between records."""
@@ -187,72 +289,47 @@ class WarcReader(DataSourceReader):
         if partition is None:  # what Spark hands over where there is nothing to read
             return
         files, _ = open_folder(self.path)
-        with files.open_input_file(partition.path) as f:
-            buf = memoryview(f.read_at(partition.end - partition.start, partition.start))
         rows, size = [], 0
-        packed = partition.path.endswith(".gz")
-        at = 0
-        while at < len(buf):
-            if packed:
-                body, length = _skip(buf, at)
-                inflate = zlib.decompressobj(-15)
-                if length:
-                    # Only the record's own bytes are handed over: what zlib doesn't use yet, it copies.
-                    head = inflate.decompress(buf[body : at + length - 8], HEAD_BYTES)
-                    while (parsed := parse_head(head)) is None and not inflate.eof:
-                        head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
-                else:
-                    head, fed = b"", body
-                    while not inflate.eof and fed < len(buf):
-                        head += inflate.decompress(buf[fed : fed + PIECE_BYTES])
-                        fed += PIECE_BYTES
-                    parsed = parse_head(head)
-                    length = min(fed, len(buf)) - len(inflate.unused_data) + 8 - at
-            else:
-                head = bytes(buf[at : at + HEAD_BYTES])
-                while (parsed := parse_head(head)) is None and at + len(head) < len(buf):
-                    head = bytes(buf[at : at + 2 * len(head)])
-            if parsed is None:
-                raise ValueError(f"{partition.path}: a record at byte {partition.start + at} has no end of headers")
-            fields, n_head = parsed
-            block = int(fields.get("content-length", "0"))
-            row = {
-                "record_id": _bare(fields.get("warc-record-id")), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
-                "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_length": None, "refers_to": _bare(fields.get("warc-refers-to")), "headers": list(fields.items()), "payload": None,
-            }
-            http = head[n_head : n_head + block] if fields.get("content-type", "").startswith("application/http") else b""
-            http_end = http.find(b"\r\n\r\n") + 4
-            if http and http_end > 3:
-                for line in http[:http_end].split(b"\r\n"):
-                    name, _, value = line.partition(b":")
-                    if name.lower() == b"content-length":
-                        row["payload_length"] = int(value)
-            else:
-                http_end, row["payload_length"] = 0, block
-            wanted = self._wanted(row)
-            has_payload = row["record_type"] != "revisit"
-            if packed:
-                if wanted and has_payload and self.payload != "false":
-                    data = head + inflate.decompress(inflate.unconsumed_tail)
-                    payload = data[n_head + http_end : n_head + block]
-                at += length
-            else:
-                payload = bytes(buf[at + n_head + http_end : at + n_head + block]) if wanted and has_payload and self.payload != "false" else b""
-                at += n_head + block + 4
-            if not wanted:
-                continue
-            if has_payload and self.payload != "false":
-                if row["payload_digest"] and digest(payload) != row["payload_digest"]:
-                    raise ValueError(f"{partition.path}: the payload of {row['record_id']} is damaged")
-                row["payload"] = payload if self.payload == "true" else None
-                size += len(payload)
-            rows.append(row)
-            if len(rows) >= 4096 or size > 8 << 20:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                rows, size = [], 0
+        with files.open_input_file(partition.path) as f:
+            window = Window(f, partition.end)
+            record = _packed if partition.path.endswith(".gz") else _plain
+            at = partition.start
+            while at < partition.end:
+                found = record(window, at)
+                if found.fields is None:
+                    raise ValueError(f"{partition.path}: a record at byte {at} has no end of headers")
+                row = self._row(found)
+                wanted = self._wanted(row)
+                if wanted and row["record_type"] != "revisit" and self.payload != "false":
+                    payload = found.rest()
+                    if row["payload_digest"] and digest(payload) != row["payload_digest"]:
+                        raise ValueError(f"{partition.path}: the payload of {row['record_id']} is damaged")
+                    row["payload"] = payload if self.payload == "true" else None
+                    size += len(payload)
+                at = found.end()
+                if wanted:
+                    rows.append(row)
+                if len(rows) >= 4096 or size > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
+    @staticmethod
+    def _row(found: Found) -> dict:
+        fields = found.fields
+        length = found.block
+        if found.http:
+            length = None
+            for line in found.http.split(b"\r\n"):
+                name, _, value = line.partition(b":")
+                if name.lower() == b"content-length":
+                    length = int(value)
+        return {
+            "record_id": _bare(fields.get("warc-record-id")), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
+            "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_length": length, "refers_to": _bare(fields.get("warc-refers-to")), "headers": list(fields.items()), "payload": None,
+        }
+
 
 class WarcWriter(DataSourceArrowWriter):
     """Writes rows (record_id, record_type, target_uri, payload, refers_to), a file for each task."""

@@ -63,6 +63,12 @@ def test_splits(spark, tmp_path, monkeypatch):
     assert [r["payload_length"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == [1, 2, 3]
 
 
+def long_head(n):
+    """A record whose HTTP head is longer than a first look."""
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"x" * 9000 + b"\r\nContent-Length: %d\r\n\r\n" % n
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:4>\r\nWARC-Target-URI: http://z\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (len(http) + n) + http + b"r" * n + b"\r\n\r\n"
+
+
 @pytest.mark.parametrize("name", ["x.warc", "x.warc.gz"])
 def test_foreign_archives(spark, tmp_path, name):
     info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:1>\r\nContent-Type: text/plain\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -70,6 +76,10 @@ def test_foreign_archives(spark, tmp_path, name):
     (tmp_path / name).write_bytes(b"".join(gzip.compress(r) if name.endswith("gz") else r for r in records))
     rows = sorted((r.record_id, r.record_type, r.payload_length, r.payload and len(r.payload)) for r in warc.read(spark, str(tmp_path)).collect())
     assert rows == [("urn:1", "warcinfo", 5, 5), ("urn:2", "response", 100_000, 100_000), ("urn:3", "revisit", 1, None)]
+    (tmp_path / f"long-{name}").write_bytes(b"".join(gzip.compress(r) if name.endswith("gz") else r for r in [long_head(3_000_000), *records]))
+    both = warc.read(spark, str(tmp_path))
+    assert both.count() == 7 and both.where("record_type = 'response' AND target_uri = 'http://x'").count() == 2
+    assert [(r.payload_length, len(r.payload)) for r in both.where("record_id = 'urn:4'").collect()] == [(3_000_000, 3_000_000)], "a long HTTP head, and a payload beyond a window"
 
 
 def test_damage_is_an_error(spark, tmp_path):

@@ -36,17 +36,18 @@ def transitioned(requests: DataFrame, bookings: DataFrame, lifecycles: DataFrame
     """
     tagged = "metadata" in requests.columns and "metadata" in bookings.columns
     heads = bookings.select(F.col("id").alias("booking_id"), "classification_id", F.col("status").alias("_status"), F.col("settled_amount").alias("_settled"), *([F.col("metadata").alias("_metadata")] if tagged else []))
-    rows = requests.join(heads, "booking_id", "left").join(lifecycles.select("classification_id", "transitions"), "classification_id", "left")
+    rows = requests.join(heads, "booking_id", "left")
+    # Lifecycles are configuration, a row for each class that has one; the tasks get them once.
+    graphs = {r.classification_id: {a: frozenset(to) for a, to in r.transitions.items()} for r in lifecycles.select("classification_id", "transitions").collect()}
 
     def step(state, row):
         status, settled, notes = state
         kept = {"metadata_after": list(notes.items())} if tagged else {}
-        graph = dict(row["transitions"] or [])
         if status is None:
             return state, {"reject_reason": "not_found", "emits": False, "status_after": None, "settled_after": None} | kept
         if row["to_status"] == status:
             return state, {"reject_reason": None, "emits": False, "status_after": status, "settled_after": settled} | kept
-        if row["to_status"] not in (graph.get(status) or []):
+        if row["to_status"] not in graphs.get(row["classification_id"], {}).get(status, ()):
             return state, {"reject_reason": "invalid_transition", "emits": False, "status_after": status, "settled_after": settled} | kept
         settled = row["amount"] or settled
         if tagged:
@@ -54,7 +55,7 @@ def transitioned(requests: DataFrame, bookings: DataFrame, lifecycles: DataFrame
             kept = {"metadata_after": list(notes.items())}
         return (row["to_status"], settled, notes), {"reject_reason": None, "emits": True, "status_after": row["to_status"], "settled_after": settled} | kept
 
-    return fold(rows, ["booking_id"], ["seq"], lambda row: (row["_status"], row["_settled"] or Decimal(0), dict(row["_metadata"] or []) if tagged else {}), step, StructType.fromDDL(f"reject_reason string, emits boolean, status_after string, settled_after {AMOUNT}" + (", metadata_after map<string,string>" if tagged else ""))).drop("_status", "_settled", "_metadata", "transitions")
+    return fold(rows, ["booking_id"], ["seq"], lambda row: (row["_status"], row["_settled"] or Decimal(0), dict(row["_metadata"] or []) if tagged else {}), step, StructType.fromDDL(f"reject_reason string, emits boolean, status_after string, settled_after {AMOUNT}" + (", metadata_after map<string,string>" if tagged else ""))).drop("_status", "_settled", "_metadata")
 
 
 def expired(bookings: DataFrame, lifecycles: DataFrame, now: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from tallyforge.functions.keys import pending_expiry_key
 from tallyforge.functions.money import zero
-from tallyforge.operators.fold import fold
+from tallyforge.operators.fold import LATER, fold, remember, with_later
 from tallyforge.schemas import AMOUNT
 
 #: The template that each action posts.
@@ -25,6 +25,7 @@ def applied(requests: DataFrame, opening: DataFrame) -> DataFrame:
     before. Gives the template and amount to post, or the reason to refuse.
     """
     rows = requests.join(opening.select("account_holder", "currency_id", F.col("balance").alias("_opening")), ["account_holder", "currency_id"], "left").withColumn("_opening", F.coalesce("_opening", zero()))
+    rows = with_later(rows, ["account_holder", "currency_id", "idempotency_key"], ["seq"])
 
     def step(state, row):
         balance, seen = state
@@ -46,9 +47,11 @@ def applied(requests: DataFrame, opening: DataFrame) -> DataFrame:
         if reason is None and posted is not None:
             balance += posted if action == "add" else -posted
             seen[key] = (action, amount)
+        if key in seen:
+            remember(seen, row, seen[key])
         return (balance, seen), {"template_code": TEMPLATES.get(action) if reason is None and posted is not None else None, "posted": posted if reason is None else None, "pending_after": balance, "reject_reason": reason}
 
-    return fold(rows, ["account_holder", "currency_id"], ["seq"], lambda row: (row["_opening"], {}), step, StructType.fromDDL(f"template_code string, posted {AMOUNT}, pending_after {AMOUNT}, reject_reason string")).drop("_opening")
+    return fold(rows, ["account_holder", "currency_id"], ["seq"], lambda row: (row["_opening"], {}), step, StructType.fromDDL(f"template_code string, posted {AMOUNT}, pending_after {AMOUNT}, reject_reason string")).drop("_opening", LATER)
 
 
 def overdue(journals: DataFrame, entries: DataFrame, balances: DataFrame, cutoff: Column, pending_class: int, limit: int = 1000) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyforge.functions.money import zero
-from tallyforge.operators.fold import fold
+from tallyforge.operators.fold import LATER, fold, remember, with_later
 from tallyforge.operators.validation import first_reason
 from tallyforge.schemas import AMOUNT
 
@@ -25,6 +25,7 @@ def admitted(requests: DataFrame, available: DataFrame) -> DataFrame:
     currency. A key seen before replays the first answer if the amounts agree.
     """
     rows = requests.join(available.select("account_holder", "currency_id", F.col("available").alias("opening")), ["account_holder", "currency_id"], "left").withColumn("opening", F.coalesce("opening", zero()))
+    rows = with_later(rows, ["account_holder", "currency_id", "idempotency_key"], ["id"])
 
     def step(state, row):
         left, seen = state
@@ -38,9 +39,11 @@ def admitted(requests: DataFrame, available: DataFrame) -> DataFrame:
         else:
             reason, left = None, left - row["amount"]
             seen[row["idempotency_key"]] = row["amount"]
+        if row["idempotency_key"] in seen:
+            remember(seen, row, seen[row["idempotency_key"]])
         return (left, seen), {"accepted": reason is None, "reject_reason": reason, "left": left}
 
-    return fold(rows, ["account_holder", "currency_id"], ["id"], lambda row: (row["opening"], {}), step, StructType.fromDDL(f"accepted boolean, reject_reason string, left {AMOUNT}"))
+    return fold(rows, ["account_holder", "currency_id"], ["id"], lambda row: (row["opening"], {}), step, StructType.fromDDL(f"accepted boolean, reject_reason string, left {AMOUNT}")).drop(LATER)
 
 
 def settled(actions: DataFrame, reservations: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def settled(actions: DataFrame, reservations: DataFrame) -> DataFrame:
     seen before replays if the amounts agree.
     """
     heads = reservations.select(F.col("id").alias("reservation_id"), "reserved_amount", F.col("status").alias("_status"), F.coalesce("settled_amount", zero()).alias("_settled"))
-    rows = actions.join(heads, "reservation_id", "left")
+    rows = with_later(actions.join(heads, "reservation_id", "left"), ["reservation_id", "idempotency_key"], ["seq"])
 
     def step(state, row):
         status, done, legs = state
@@ -91,9 +94,11 @@ def settled(actions: DataFrame, reservations: DataFrame) -> DataFrame:
                 reason = "invalid_transition"
         else:
             reason = "invalid_input"
+        if row["idempotency_key"] in legs:
+            remember(legs, row, legs[row["idempotency_key"]])
         return (status, done, legs), {"reject_reason": reason, "status_after": status, "settled_after": done}
 
-    return fold(rows, ["reservation_id"], ["seq"], lambda row: (row["_status"], row["_settled"] or Decimal(0), {}), step, StructType.fromDDL(f"reject_reason string, status_after string, settled_after {AMOUNT}")).drop("_status", "_settled")
+    return fold(rows, ["reservation_id"], ["seq"], lambda row: (row["_status"], row["_settled"] or Decimal(0), {}), step, StructType.fromDDL(f"reject_reason string, status_after string, settled_after {AMOUNT}")).drop("_status", "_settled", LATER)
 
 
 def expired(reservations: DataFrame, now: Column) -> DataFrame:

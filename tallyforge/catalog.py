@@ -13,6 +13,8 @@ from tallyforge.operators import audit, balances, bookings, delivery, deposits,
 from tallyforge.plans.lens import NOW, Books, at
 from tallyforge.plans.oracle import A, SIGNED, oracle, total
 from tallyforge.schemas import AMOUNT
+from tallyforge.sources import files
+from tallyforge.streaming import rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -816,3 +818,50 @@ def booking_input_errors(l: Books) -> DataFrame:
     i = F.col("id")
     asked = l.bookings.select("id", F.lit("deposit").alias("classification_code"), F.when(i % 6 != 0, F.col("account_holder")).alias("account_holder"), "currency_id", F.when(i % 10 == 0, 0).otherwise(F.col("amount")).alias("amount"), F.when(i % 15 == 0, "").otherwise(F.col("idempotency_key")).alias("idempotency_key"))
     return validation.booking_inputs(asked).select("id", "reject_reason")
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 OR id % 7 = 0 THEN 'invalid_input' END AS reject_reason FROM reservations")
+def settle_input_errors(l: Books) -> DataFrame:
+    """Legs of which some lack an amount or a key."""
+    i = F.col("id")
+    asked = l.reservations.select("id", i.alias("reservation_id"), F.when(i % 5 != 0, F.lit(1)).cast(AMOUNT).alias("amount"), F.when(i % 7 != 0, F.col("uid")).alias("idempotency_key"))
+    return validation.settle_inputs(asked, partial=True).select("id", "reject_reason")
+
+
+@query("SELECT o_orderkey AS id, num > 0 AND num <= den AS is_share FROM (SELECT o_orderkey, o_orderkey % 9 - 2 AS num, o_orderkey % 6 AS den FROM orders) WHERE den > 0 UNION ALL SELECT o_orderkey, false FROM orders WHERE o_orderkey % 6 = 0")
+def fraction_checks(l: Books) -> DataFrame:
+    k = F.col("o_orderkey")
+    return l._read("orders").select(k.alias("id"), money.is_fraction(k % 9 - 2, k % 6).alias("is_share"))
+
+
+@query("""SELECT tx_hash, log_index, txlog_seq, c_custkey + 1 AS account_holder, 'deposit-1-' || tx_hash || '-' || txlog_seq AS idempotency_key FROM (SELECT *, row_number() OVER (PARTITION BY tx_hash ORDER BY block_number, log_index) - 1 AS txlog_seq
+    FROM (SELECT 'tx-' || (event_id // 3) AS tx_hash, event_id // 3 AS block_number, event_id % 3 AS log_index, 'addr-' || user_id AS address FROM events)) JOIN customer ON address = 'addr-' || c_custkey AND c_custkey % 2 = 0""")
+def registered_deposits(l: Books) -> DataFrame:
+    """Every event as a hit at its user's address; the even customers' addresses are registered, in upper case."""
+    e = F.col("event_id")
+    hits = l._read("events").select(F.lit(1).alias("chain_id"), F.concat(F.lit("tx-"), F.floor(e / 3)).alias("tx_hash"), F.floor(e / 3).alias("block_number"), (e % 3).alias("log_index"), F.concat(F.lit("Addr-"), "user_id").alias("to_address"))
+    known = l._read("customer").where("c_custkey % 2 = 0").select(F.lit(1).alias("chain_id"), F.concat(F.lit("ADDR-"), "c_custkey").alias("address"), (F.col("c_custkey") + 1).alias("account_holder"))
+    return deposits.registered(hits, known).select("tx_hash", "log_index", "txlog_seq", "account_holder", "idempotency_key")
+
+
+@query(f"SELECT {_ACCOUNT}, CASE WHEN account_holder % 3 = 0 AND account_holder % 2 = 0 THEN CAST(balance + 1 AS {A}) ELSE balance END AS balance, CASE WHEN account_holder % 3 = 0 AND account_holder % 2 = 0 THEN last_entry_id + 1 ELSE last_entry_id END AS last_entry_id FROM checkpoints")
+def upserted_checkpoints(l: Books) -> DataFrame:
+    """Every third holder's checkpoints come again, the even ones newer, the others older and therefore left as they are."""
+    step = F.when(F.col("account_holder") % 2 == 0, 1).otherwise(-1)
+    again = l.checkpoints.where("account_holder % 3 = 0").withColumn("balance", (F.col("balance") + 1).cast(AMOUNT)).withColumn("last_entry_id", F.col("last_entry_id") + step)
+    return files.upsert(l.checkpoints, again, ACCOUNT, "last_entry_id")
+
+
+@query("SELECT idempotency_key, min(id) AS id FROM reservations GROUP BY ALL")
+def inserted_once(l: Books) -> DataFrame:
+    """Reservations put in by key, the first of each; the keys that every tenth id brought before stay with them."""
+    rows = l.reservations.select("idempotency_key", "id")
+    first = rows.groupBy("idempotency_key").agg(F.min("id").alias("id")).where("id % 10 = 0")
+    return files.insert_or_ignore(first, rows, ["idempotency_key"], ["id"])
+
+
+@query(f"""SELECT account_holder, currency_id, classification_id, balance, max(last) OVER (PARTITION BY account_holder, currency_id) AS last_entry_id
+    FROM (SELECT e.account_holder, e.currency_id, e.classification_id, {total(SIGNED)} AS balance, max(e.id) AS last FROM entries e JOIN classifications c ON c.id = e.classification_id GROUP BY ALL)""")
+def advanced_checkpoints(l: Books) -> DataFrame:
+    """The checkpoints after a batch of all entries, of which the older half was counted before."""
+    return rollup.advanced(l.checkpoints, l.entries, l.classifications)

@@ -454,14 +454,17 @@ def scored(docs: DataFrame, depth: int = DEPTH, part_bytes: int = PART_BYTES) ->
         raise ValueError("a gram has to fit 56 bits: depth 1 to 6")
     spark = docs.sparkSession
     asked = questions(docs.select("doc_id", "text", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")), depth, part_bytes)
-    n_ends = asked.where(F.col("kind") == ENDS).agg(F.coalesce(F.sum(F.element_at("n", 1).cast("long")), F.lit(0)).alias("n")).first().n
+    parts = asked.where(F.col("kind") == ENDS).agg(F.coalesce(F.sum(F.element_at("n", 1).cast("long")), F.lit(0)).alias("n"), F.count("*").alias("parts")).first()
+    n_ends = parts.n
     folder = own_folder(spark, "words")
     _word_answers(asked).write.parquet(folder)
     word = spark.read.schema(_ANSWERED).parquet(folder)
     total = word.where("part is null").agg(*(F.coalesce(F.sum(F.element_at("count", i)), F.lit(0)).alias(c) for i, c in ((1, "v"), (2, "n")))).first()
     n_train, v = total.n + n_ends, total.v + (n_ends > 0)
     texts = asked.where(F.col("kind") == TEXTS).select("kind", "part", *(F.lit(None).cast(t).alias(c) for c, t in (("unit", "long"), ("keys", "array<int>"), ("hashes", "array<long>"), ("log", "array<float>"), ("count", "array<long>"))), "texts")
-    every = _answers(asked, top(asked, depth)).unionAll(word.where("part is not null")).unionAll(texts).repartition("part").sortWithinPartitions("part", "kind")
+    every = _answers(asked, top(asked, depth)).unionAll(word.where("part is not null")).unionAll(texts)
+    # As many tasks as parts, so that a task's share doesn't grow with the input.
+    every = every.repartition(max(1, parts.parts), "part").sortWithinPartitions("part", "kind")
     out = every.mapInArrow(tidy(lambda batches: _score(batches, depth, n_ends)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, size long")
     base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n_train + v + 1.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / F.col("size")).alias("bits_per_byte"))

@@ -27,14 +27,14 @@ def signed(amount: str = "amount", entry_type: str = "entry_type", normal_side:
     return F.when(~side.isin("debit", "credit"), None).when(F.col(entry_type) == side, a).otherwise(-a).cast(AMOUNT)
 
 
-def total(value: Column) -> Column:
-    """A sum as an amount, zero for none. Sums are cast back before they are added, or the last decimal is lost."""
-    return F.coalesce(F.sum(value), F.lit(Decimal(0))).cast(AMOUNT)
+def total(value: Column, kind: str = AMOUNT) -> Column:
+    """A sum as an amount (or another decimal), zero for none. Sums are cast back before they are added, or the last decimal is lost."""
+    return F.coalesce(F.sum(value), F.lit(Decimal(0))).cast(kind)
 
 
-def side_total(side: str, amount: str = "amount") -> Column:
+def side_total(side: str, amount: str = "amount", kind: str = AMOUNT) -> Column:
     """The sum of the entries on one side."""
-    return total(F.when(F.col("entry_type") == side, F.col(amount)).otherwise(zero()))
+    return total(F.when(F.col("entry_type") == side, F.col(amount)).otherwise(zero()), kind)
 
 
 def rounded(amount: Column, places: int, mode: str = "half_up") -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import side_total, signed, total, zero
-from tallyforge.schemas import AMOUNT
+from tallyforge.schemas import AMOUNT, TOTAL
 
 ACCOUNT = ["account_holder", "currency_id", "classification_id"]
 
@@ -22,8 +22,8 @@ def with_class(entries: DataFrame, classifications: DataFrame, *columns: str) ->
 
 
 def global_totals(entries: DataFrame) -> DataFrame:
-    """Debit and credit of everything."""
-    return entries.agg(side_total("debit").alias("total_debit"), side_total("credit").alias("total_credit"))
+    """Debit and credit of everything, as totals: wider than an amount, and not to be added further."""
+    return entries.agg(side_total("debit", kind=TOTAL).alias("total_debit"), side_total("credit", kind=TOTAL).alias("total_credit"))
 
 
 def totals_by_currency(entries: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql.types import StructType
 
 AMOUNT = "decimal(30,18)"
+# A total over all accounts, which no table stores: it may pass the 12 digits before the point that an amount has.
+TOTAL = "decimal(38,18)"
 
 _DDL = {
     "currencies": "id long, uid string, code string, name string, is_active boolean, exponent short",

@@ -92,6 +92,13 @@ def test_over_reversal(spark):
     assert found == [None, "conflict", None]
 
 
+def test_global_totals_beyond_an_amount(spark):
+    most = "999999999999.000000000000000001"
+    e = entries(spark, [(j, h, 1, c, side, most) for j in (1, 2, 3) for h, c, side in ((1, "main_wallet", "debit"), (-1, "custodial", "credit"))])
+    assert rows(balances.global_totals(e), "total_debit", "total_credit") == [(D("2999999999997.000000000000000003"),) * 2]
+    assert rows(balances.global_totals(e.limit(0)), "total_debit", "total_credit") == [(0, 0)]
+
+
 def test_reversal_chain_from_either_end(spark):
     j = journals(spark, [(1, "deposit_confirm"), (2, "deposit_confirm", 1), (3, "fee")])
     for start in (1, 2):

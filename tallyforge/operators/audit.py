@@ -64,14 +64,17 @@ def account_pairs(checkpoints: DataFrame, after: tuple[int, int] | None = None,
 
 
 def reversal_chains(spark: SparkSession, journals: DataFrame, depth: int = 32) -> DataFrame:
-    """(root_id, journal_id, depth) of every chain of reversals: all roots at once, by a recursive query."""
+    """(root_id, journal_id, depth) of every chain of reversals: all roots at once, by a recursive query.
+
+    LIMIT ALL lifts the session's limit of rows that a recursion may give, a million if unset.
+    """
     journals.select("id", "reversal_of").createOrReplaceTempView("_chain_journals")
     return spark.sql(f"""
         WITH RECURSIVE chain(root_id, journal_id, depth) AS (
             SELECT o.id, o.id, 0 FROM _chain_journals o LEFT SEMI JOIN _chain_journals r ON r.reversal_of = o.id WHERE o.reversal_of IS NULL
             UNION ALL
             SELECT c.root_id, j.id, c.depth + 1 FROM chain c JOIN _chain_journals j ON j.reversal_of = c.journal_id WHERE c.depth < {int(depth)}
-        ) SELECT * FROM chain""")
+        ) SELECT * FROM chain LIMIT ALL""")
 
 
 def reversal_chain(spark: SparkSession, journals: DataFrame, journal_id: int, depth: int = 32) -> DataFrame:

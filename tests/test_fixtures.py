@@ -106,6 +106,19 @@ def test_reversal_chain_from_either_end(spark):
     assert rows(audit.reversal_chains(spark, j), "root_id", "journal_id", "depth") == [(1, 1, 0), (1, 2, 1)]
 
 
+def test_reversal_chains_beyond_the_limit_of_recursive_rows(spark):
+    j = journals(spark, [(3 * i + k, "fee", 3 * i + k - 1 if k > 1 else None) for i in range(20) for k in (1, 2, 3)])
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "10")
+    try:
+        found = audit.reversal_chains(spark, j)
+        assert rows(found, "root_id", "journal_id", "depth") == [(3 * i + 1, 3 * i + 1 + k, k) for i in range(20) for k in range(3)]
+        assert found.count() == 60 and found.where("depth = 2").count() == 20
+    finally:
+        spark.conf.set(limit, before)
+
+
 def test_full_reversal_reasons(spark):
     e, j = _holder_books(spark)
     asked = spark.createDataFrame([(1,), (2,), (5,), (9,)], "journal_id long")
